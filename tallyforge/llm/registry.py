@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, sharding, url_filter
+from tallyforge.llm import bpe, chat, decontaminate, sharding, token_count, url_filter
 
 
 def queries() -> dict:
     """Query name to ``f(spark, sf_dir) -> DataFrame``."""
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_bpe": bpe.op5_bpe,
+        "op8_token_count": token_count.op8_token_count,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_chat": chat.op10_chat,
     }
@@ -18,6 +21,7 @@ def oracle_sql() -> dict:
     """Query name to DuckDB SQL; operators that SQL cannot express have none."""
     return {
         "op2_sharding": sharding.OP2_SQL,
+        "op3_decontaminate": decontaminate.OP3_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
         "op10_chat": chat.OP10_SQL,
     }
