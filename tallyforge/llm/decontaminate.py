@@ -235,7 +235,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
     opens = F.filter("cells", lambda c, i: ~F.get("cells", i - 1).eqNullSafe(c - 1))
     closes = F.filter("cells", lambda c, i: ~F.get("cells", i + 1).eqNullSafe(c + 1))
-    spans = F.transform(opens, lambda a, i: F.struct(a.alias("start"), (F.get(closes, i) + 1).alias("end")))
+    spans = F.transform(opens, lambda a, i: F.named_struct(F.lit("start"), a, F.lit("end"), F.get(closes, i) + 1))
     return united.select("id", "key", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_")).drop("_")
 
 
