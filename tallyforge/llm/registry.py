@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, chat, decontaminate, sharding, token_count, url_filter
+from tallyforge.llm import bpe, chat, decontaminate, fingerprint, sharding, simhash, token_count, url_filter
 
 
 def queries() -> dict:
     """Query name to ``f(spark, sf_dir) -> DataFrame``."""
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op2_sharding": sharding.op2_sharding,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_bpe": bpe.op5_bpe,
+        "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_token_count": token_count.op8_token_count,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_chat": chat.op10_chat,

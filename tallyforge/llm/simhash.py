@@ -43,7 +43,8 @@ class Features:
 
 @dataclass(frozen=True)
 class Verify:
-    """Further fingerprints (``parts`` of them, of these features) that must differ in at most ``bits`` together."""
+    """Decides on pairs that collide by further fingerprints: ``parts`` of them, of these
+    features, must differ in at most ``bits`` together."""
 
     features: Features
     bits: int
@@ -140,11 +141,9 @@ def _search(nodes: np.ndarray, radius: int, bits: int | None) -> list[tuple[int,
 
 
 def _near(nodes: np.ndarray, other: np.ndarray, radius: int, bits: int | None) -> np.ndarray:
-    far = np.bitwise_count(nodes[..., 0] ^ other[..., 0])
-    near = far <= radius
-    if bits is not None:
-        near &= np.bitwise_count(nodes[..., 1:] ^ other[..., 1:]).sum(axis=-1, dtype=np.int64) <= bits
-    return near
+    if bits is None:
+        return np.bitwise_count(nodes[..., 0] ^ other[..., 0]) <= radius
+    return np.bitwise_count(nodes[..., 1:] ^ other[..., 1:]).sum(axis=-1, dtype=np.int64) <= bits
 
 
 def _linked(keyed: DataFrame, names: list[str], radius: int, bits: int | None, limit: int | None) -> DataFrame:
@@ -210,7 +209,10 @@ def _array(values: list[int]) -> Column:
 
 
 def links(nodes: DataFrame, radius: int, verify: Verify | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges (a, b) of node names that connect just what pairs of nodes within the radius connect.
+    """Edges (a, b) of node names that connect what pairs of nodes within the radius connect.
+
+    With ``verify``, pairs that collide are linked if their further fingerprints are
+    near; collisions are certain within the radius and may occur beyond it.
 
     ``nodes`` has distinct ``f0``... and is read more than once; its name is the
     fingerprints' hex digits.
