@@ -114,10 +114,10 @@ def judge(pages: DataFrame, row_id: str = "page_id", url: str = "url", domain_ru
     urls = base.select("url", "host", "path").where(F.col("url").isNotNull()).distinct()
 
     domains = spark.createDataFrame([(r.host, r.path, r.name, r.verdict) for r in domain_rules], "suffix string, prefix string, rule string, says string")
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # A suffix starts at the host or after one of its dots.
+    suffix = F.explode(F.array_distinct(F.concat(F.array("host"), F.regexp_extract_all("host", F.lit(r"(?<=\.)(?=([^/?#]*))"), F.lit(1))))).alias("suffix")
     named = (
-        urls.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
+        urls.select("url", "path", suffix)
         .join(_sized(domains, len(domain_rules)), "suffix")
         .where(F.expr("startswith(path, prefix)"))
         .groupBy("url")
