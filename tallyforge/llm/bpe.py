@@ -230,10 +230,8 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
 def token_ids(ids: str = "ids") -> Column:
     """Ids as an array of integers, from their bytes."""
-    digits = F.hex(F.col(ids))
-    at = lambda i: F.concat(*[F.substring(digits, (8 * i + 7 - 2 * b).cast("int"), F.lit(2)) for b in range(4)])
-    count = F.octet_length(F.col(ids)) / 4
-    return F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.conv(at(i), 16, 10).cast("int")))
+    groups = F.regexp_extract_all(F.hex(F.col(ids)), F.lit("(.{8})"), F.lit(1))
+    return F.transform(groups, lambda g: F.conv(F.concat(*[F.substring(g, 7 - 2 * b, 2) for b in range(4)]), 16, 10).cast("int"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
