@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, chat, decontaminate, fingerprint, sharding, simhash, token_count, url_filter
+from tallyforge.llm import bpe, chat, decontaminate, fingerprint, quality, secrets_scan, sharding, simhash, token_count, url_filter
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_sharding": sharding.op2_sharding,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_secrets": secrets_scan.op4_secrets,
         "op5_bpe": bpe.op5_bpe,
+        "op6_quality": quality.op6_quality,
         "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_token_count": token_count.op8_token_count,
         "op9_url_filter": url_filter.op9_url_filter,
