@@ -86,45 +86,49 @@ def made_findings(spark: SparkSession, rows: int = MADE_LABELLED) -> DataFrame:
     Secrets are random strings in the usual alphabets after a telling word; the others
     are compound words, numbers, digests, identifiers, paths, rulers and placeholders.
     """
-    def pick(salt: int, *options: str) -> Column:
-        return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
-
-    random_hex = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{salt}")), 256)
-    random_64 = F.regexp_replace(F.base64(F.unhex(random_hex(1))), "=", "")
-    part = lambda salt: pick(salt, *DICTIONARY)
-    word = F.concat(*[part(20 + i) for i in range(7)])
-    number = F.conv(F.substring(random_hex(2), 1, 13), 16, 10)
-    uuid = F.regexp_replace(F.substring(random_hex(3), 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    quote = pick(4, '"', "'", "")
-    say = pick(5, "token", "api_key", "API-KEY", "secret", "password", "passwd", "access_key", "auth", "client_secret", "TOKEN", "Secret")
-    link = pick(6, " = ", "=", ": ", ":", " := ")
-    prose = F.concat(pick(7, "", "the ", "und ", "de la ", "of. "), part(8), pick(9, " ", ". ", ", ", " | ", "\n"))
-    assigned = F.concat(prose, say, link, quote)
-    length = pick(10, "20", "24", "32", "40", "40", "64").cast("int")
-    kinds = [
-        (1, F.substring(random_hex(1), F.lit(1), length), assigned, quote),
-        (1, F.upper(F.substring(random_hex(1), F.lit(1), length)), F.concat(F.upper(prose), F.upper(say), link, quote), quote),
-        (1, F.substring(random_64, F.lit(1), F.least(length, F.lit(40))), assigned, quote),
-        (1, F.concat(pick(11, "ghp_", "sk-", "AKIA", "xoxb-"), F.substring(F.regexp_replace(random_64, "[+/]", "x"), F.lit(1), F.least(length, F.lit(36)))), F.concat(prose, pick(12, "", "Bearer ", "token ", "key ")), F.lit(" ")),
-        (0, word, prose, pick(13, " ", ".", ",", "\n")),
-        (0, F.concat(F.initcap(part(14)), word), prose, pick(13, " ", ".", ",")),
-        (0, F.upper(word), F.upper(prose), F.lit("!! ")),
-        (0, F.concat(number, F.substring(number, 1, 4)), F.concat(prose, pick(15, "", "card ", "order: ", "phone = ", "iban ")), F.lit(" ")),
-        (0, F.substring(random_hex(1), F.lit(1), pick(16, "32", "40", "64").cast("int")), F.concat(prose, pick(17, "commit ", "sha256:", "md5 = ", "checksum: ", "etag: \"", "revision ")), pick(13, " ", "\"")),
-        (0, uuid, F.concat(prose, pick(18, "uuid: ", "guid=", "id ", "")), F.lit(" ")),
-        (0, F.concat(F.lit("/"), part(1), F.lit("/"), word, F.lit("/"), part(2)), F.concat(prose, pick(19, "https://example", "file: ", "path = ")), F.lit(".")),
-        (0, F.repeat(pick(3, "-", "=", "_", "x", "0", "A"), length), F.concat(prose, pick(30, "", "\n", "token = ")), F.lit("\n")),
-        (0, pick(31, "your-api-key-here", "INSERT_TOKEN_HERE", "replace-with-your-secret", "changeme-changeme", "my_secret_password_value", "example_token_goes_here"), assigned, quote),
-        (0, F.concat(part(1), F.lit("_"), part(2), F.lit("_"), word), assigned, quote),
-    ]
-    numbered = spark.range(0, rows, 1, 2)
-    chosen = None
-    for i, (label, finding, before, after) in enumerate(kinds):
-        row = F.struct(F.lit(label).cast("double").alias("label"), finding.alias("finding"), F.right(before, F.lit(BEFORE_CHARS)).alias("before"), after.alias("after"))
-        here = F.when(F.col("id") % len(kinds) == i, row)
-        chosen = here if chosen is None else F.coalesce(chosen, here)
-    path = F.when((F.col("id") % len(kinds) > 3) & (F.col("id") % 3 == 0), F.lit("tests/example")).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
-    return numbered.select("id", chosen.alias("made"), path.alias("path")).select("id", "made.*", "path").where(F.length("finding") >= 16)
+    def make(ident: Column) -> Column:
+        def pick(salt: int, *options: str) -> Column:
+            return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(ident, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+
+        random_hex = lambda salt: F.sha2(F.concat(ident.cast("string"), F.lit(f"/{salt}")), 256)
+        random_64 = F.regexp_replace(F.base64(F.unhex(random_hex(1))), "=", "")
+        part = lambda salt: pick(salt, *DICTIONARY)
+        word = F.concat(*[part(20 + i) for i in range(7)])
+        number = F.conv(F.substring(random_hex(2), 1, 13), 16, 10)
+        uuid = F.regexp_replace(F.substring(random_hex(3), 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        quote = pick(4, '"', "'", "")
+        say = pick(5, "token", "api_key", "API-KEY", "secret", "password", "passwd", "access_key", "auth", "client_secret", "TOKEN", "Secret")
+        link = pick(6, " = ", "=", ": ", ":", " := ")
+        prose = F.concat(pick(7, "", "the ", "und ", "de la ", "of. "), part(8), pick(9, " ", ". ", ", ", " | ", "\n"))
+        assigned = F.concat(prose, say, link, quote)
+        length = pick(10, "20", "24", "32", "40", "40", "64").cast("int")
+        kinds = [
+            (1, F.substring(random_hex(1), F.lit(1), length), assigned, quote),
+            (1, F.upper(F.substring(random_hex(1), F.lit(1), length)), F.concat(F.upper(prose), F.upper(say), link, quote), quote),
+            (1, F.substring(random_64, F.lit(1), F.least(length, F.lit(40))), assigned, quote),
+            (1, F.concat(pick(11, "ghp_", "sk-", "AKIA", "xoxb-"), F.substring(F.regexp_replace(random_64, "[+/]", "x"), F.lit(1), F.least(length, F.lit(36)))), F.concat(prose, pick(12, "", "Bearer ", "token ", "key ")), F.lit(" ")),
+            (0, word, prose, pick(13, " ", ".", ",", "\n")),
+            (0, F.concat(F.initcap(part(14)), word), prose, pick(13, " ", ".", ",")),
+            (0, F.upper(word), F.upper(prose), F.lit("!! ")),
+            (0, F.concat(number, F.substring(number, 1, 4)), F.concat(prose, pick(15, "", "card ", "order: ", "phone = ", "iban ")), F.lit(" ")),
+            (0, F.substring(random_hex(1), F.lit(1), pick(16, "32", "40", "64").cast("int")), F.concat(prose, pick(17, "commit ", "sha256:", "md5 = ", "checksum: ", "etag: \"", "revision ")), pick(13, " ", "\"")),
+            (0, uuid, F.concat(prose, pick(18, "uuid: ", "guid=", "id ", "")), F.lit(" ")),
+            (0, F.concat(F.lit("/"), part(1), F.lit("/"), word, F.lit("/"), part(2)), F.concat(prose, pick(19, "https://example", "file: ", "path = ")), F.lit(".")),
+            (0, F.repeat(pick(3, "-", "=", "_", "x", "0", "A"), length), F.concat(prose, pick(30, "", "\n", "token = ")), F.lit("\n")),
+            (0, pick(31, "your-api-key-here", "INSERT_TOKEN_HERE", "replace-with-your-secret", "changeme-changeme", "my_secret_password_value", "example_token_goes_here"), assigned, quote),
+            (0, F.concat(part(1), F.lit("_"), part(2), F.lit("_"), word), assigned, quote),
+        ]
+        path = F.when((ident % len(kinds) > 3) & (ident % 3 == 0), F.lit("tests/example")).otherwise(F.concat(F.lit("src"), (ident % 20).cast("string")))
+        chosen = None
+        for i, (label, finding, before, after) in enumerate(kinds):
+            row = F.struct(F.lit(label).cast("double").alias("label"), finding.alias("finding"), F.right(before, F.lit(BEFORE_CHARS)).alias("before"), after.alias("after"), path.alias("path"))
+            here = F.when(ident % len(kinds) == i, row)
+            chosen = here if chosen is None else F.coalesce(chosen, here)
+        return chosen
+
+    # Within a lambda, because generated code would be too large.
+    made = F.element_at(F.transform(F.array("id"), make), 1)
+    return spark.range(0, rows, 1, 2).select("id", made.alias("made")).select("id", "made.*").where(F.length("finding") >= 16)
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = MAX_LABELLED) -> str:
