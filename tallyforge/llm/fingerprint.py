@@ -24,8 +24,9 @@ TERMS_PER_GROUP = 2048
 MOST_WEIGHT = 15
 RADIUS = 3
 BLOCKS = 5
-#: Ranges of ids in which neighbours are looked up.
-SLICES = 256
+#: Rows in a range of ids in which neighbours are looked up, and the fewest and most such ranges.
+SLICE_ROWS = 5_000
+FEWEST_SLICES, MOST_SLICES = 16, 65_536
 
 # A multiplier that moves bits 0..3 to bits 0, 16, 32, 48, and the mask of those.
 SPREAD, LANES = 0x0000200040008001, 0x0001000100010001
@@ -117,19 +118,32 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, b
     return asked.join(held, meets).select("query", "fingerprint", "n")
 
 
-def with_next(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+def _at_most(sorted_values: Column, value: Column, n: int) -> Column:
+    """How many of ``n`` ascending values are at most ``value``, by halving."""
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        right = F.get(sorted_values, middle) <= value
+        open_ = span["low"] < span["high"]
+        return F.struct(F.when(open_ & right, middle + 1).otherwise(span["low"]).alias("low"), F.when(open_ & ~right, middle).otherwise(span["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda span: span["low"])
+
+
+def with_next(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(id, text) with ``slice``, ``at`` (which tell rows apart), ``next_text`` and ``guest``.
 
     Rows are ordered by id (null first) and text; the first follows the last. Slices of
     ids begin at values that occur, so the first rows of a slice are sent to the one
     before as guests, and each row has its successor beside it. Only guests repeat a row.
     """
+    slices = min(MOST_SLICES, max(FEWEST_SLICES, docs.count() // slice_rows))
     known = docs.agg(F.percentile_approx("id", [i / slices for i in range(slices)], 10 * slices).alias("at"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
     starts = sorted(set(known["at"] or []))
     ids = docs.schema["id"].dataType
     begins = F.array(*[F.lit(v).cast(ids) for v in starts])
     last = len(starts)
-    own = F.when(F.col("id").isNull() if starts else F.lit(True), F.lit(0)).otherwise(F.size(F.filter(begins, lambda b: b <= F.col("id"))))
+    own = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_at_most(begins, F.col("id"), last)) if starts else F.lit(0)
     first = F.col("id").isNull() if known["nulls"] else (F.col("slice") == 1) & (F.col("id") == F.get(begins, F.lit(0)))
     opens = (F.col("slice") > 0) & (F.col("id") == F.get(begins, F.col("slice") - 1))
     guest_in = F.when(opens & ((F.col("slice") > 1) | F.lit(bool(known["nulls"]))), F.array(F.col("slice") - 1)).otherwise(F.array().cast("array<int>"))
@@ -147,7 +161,7 @@ def with_next(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     return placed.withColumn("at", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
 
 
-def compare_edited(docs: DataFrame, row_id: str = "doc_id", text: str = "text", slices: int = SLICES) -> DataFrame:
+def compare_edited(docs: DataFrame, row_id: str = "doc_id", text: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its successor's.
 
     The edited text has the last quarter of the code points replaced by as many from
@@ -163,7 +177,7 @@ def compare_edited(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
     )
     each = (
-        with_next(rows, slices)
+        with_next(rows, slice_rows)
         .withColumn("edited", edited)
         .withColumn("digest", F.unhex(F.sha2("edited", 256)))
         .select("slice", "at", "guest", "id", n.cast("long").alias("n_chars"), "digest", F.explode(variants).alias("v"))
