@@ -50,7 +50,7 @@ def _votes(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
         *key,
         F.coalesce(F.floor(F.col("nth_term") / TERMS_PER_GROUP), F.lit(0)).cast("int").alias("part"),
         F.xxhash64("term").alias("h"),
-        F.coalesce(F.least(F.octet_length("term"), F.lit(MOST_WEIGHT)), F.lit(0)).cast("long").alias("w"),
+        F.when(F.col("term").isNull(), F.lit(0)).otherwise(F.least(F.octet_length("term"), F.lit(MOST_WEIGHT))).cast("long").alias("w"),
     )
     lanes = [F.sum(((F.shiftrightunsigned("h", 4 * j).bitwiseAND(F.lit(15)) * F.lit(SPREAD)).bitwiseAND(F.lit(LANES))) * F.col("w")).alias(f"s{j}") for j in range(16)]
     grouped = exploded.groupBy(*key, "part").agg(*lanes, F.sum("w").alias("w"))
