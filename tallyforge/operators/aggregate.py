@@ -81,6 +81,16 @@ def merge(partial: DataFrame, plan: Plan) -> DataFrame:
     return _grouped(partial, [F.col(f"__k{i}") for i in range(len(plan.keys))], parts)
 
 
+def truncated_shards(partial: DataFrame, most: int) -> DataFrame:
+    """Shards that gave more partial rows than ``most``; their groups may be cut, so they must not be merged."""
+    return partial.groupBy(SHARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(SHARD)
+
+
+def without_shards(partial: DataFrame, shards: DataFrame) -> DataFrame:
+    """Partials of the other shards; the honest ones still merge."""
+    return partial.join(shards, SHARD, "left_anti")
+
+
 def finish(merged: DataFrame, plan: Plan) -> DataFrame:
     """Named results: an average ``x`` is ``x_num`` and ``x_den``, both null without rows."""
     columns = [F.col(f"__k{i}").alias(k) for i, (k, _) in enumerate(plan.keys)]

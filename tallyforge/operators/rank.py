@@ -51,5 +51,11 @@ def top_rows(rows: DataFrame, by: str, tie: str, k: int) -> DataFrame:
     The total is counted apart, so no window gathers the rows in one task.
     """
     total = rows.agg(F.count(F.lit(1)).alias("pre_trim"))
-    top = rows.orderBy(F.col(by).desc_nulls_last(), F.col(tie).asc()).limit(k)
-    return top.crossJoin(F.broadcast(total))  # k rows with one row
+    top = largest_first(rows, by, tie).limit(k)
+    # k rows with one row; ordered again, since a later limit may drop an order below the join.
+    return largest_first(top.crossJoin(F.broadcast(total)), by, tie)
+
+
+def largest_first(rows: DataFrame, by: str, tie: str) -> DataFrame:
+    """Rows by ``by`` descending, null last, and ``tie``."""
+    return rows.orderBy(F.col(by).desc_nulls_last(), F.col(tie).asc())

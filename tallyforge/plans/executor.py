@@ -25,6 +25,7 @@ from tallyforge.plans.request import Request, parse_request
 # Fixed value: groups that a response may have.
 MAX_GROUPS = 2000
 MAX_ROWS = 1000
+FAILURES = ("timeout", "network", "http_402", "http_429", "http_5xx", "excluded")
 
 
 @dataclass
@@ -78,7 +79,11 @@ def warning(shard: str, code: str, detail: str = "", est_rows: int = 0) -> dict:
 
 def _classify(error: Exception) -> str:
     """A warning code for a shard that failed."""
-    text = str(error).lower()
+    text, status = str(error).lower(), getattr(error, "status", None)
+    if status in (402, 429):
+        return f"http_{status}"
+    if isinstance(status, int) and status >= 500:
+        return "http_5xx"
     if isinstance(error, TimeoutError) or "timed out" in text or "timeout" in text:
         return "timeout"
     if "connection" in text or "unknownhost" in text:
@@ -139,7 +144,7 @@ def execute(raw: dict | Request, tables: Mapping[str, Table], per_shard: bool =
         return Answer(_nothing(table, plan), plan, selected, [], warnings)
     union, opened, warnings = open_shards(table, chosen)
     warnings.sort(key=lambda w: w["shard"])
-    if request.coverage_mode == "fail_fast" and any(w["code"] in ("timeout", "network", "excluded") for w in warnings):
+    if request.coverage_mode == "fail_fast" and any(w["code"] in FAILURES for w in warnings):
         raise EngineError("internal", "a shard failed and fail_fast was asked for")
     if not chosen:
         warnings.append(warning("*", "fleet_de_listed"))

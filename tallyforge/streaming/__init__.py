@@ -1 +1,4 @@
-"""Streaming of the aggregate engine."""
+"""Streaming of the aggregate engine: it has no streaming operators, so there are none here.
+
+A stream's micro-batches can be folded with ``operators.aggregate.merge``, as partials are.
+"""
