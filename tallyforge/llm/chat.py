@@ -11,50 +11,72 @@ the retained conversations are rendered, in parts of a bounded number of turns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Turns rendered into one output row; a longer conversation has several parts.
 TURNS_PER_PART = 512
 
+#: Turn numbers in a stretch, within which turns are ordered in one task.
+STRETCH = 1024
+
 # The ChatML markers.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def _key(conv_id: Column) -> Column:
+    """A join key that keeps a null conversation id apart from every other."""
+    return F.when(conv_id.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), conv_id.cast("string")))
+
+
 def turns(conversations: DataFrame) -> DataFrame:
-    """Distinct logged turns as ``conv_id``, ``turn``, ``role``, ``text``, ``place`` and prefix hashes ``hi``, ``lo``.
+    """Distinct logged turns with ``key``, ``place``, ``n_turns`` and prefix hashes ``hi``, ``lo``.
 
     Wholly equal rows of a conversation are one turn. Turns are ordered by turn number
     (null first), role and text, and placed from 1; null role and text are kept apart
     from empty ones. Rows with a null conv_id form one conversation.
+
+    Places and prefix hashes are taken within stretches of turn numbers and carried on
+    by the counts and hashes of earlier stretches, so a long conversation is not one task.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text").dropDuplicates()
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = (
+        conversations.select("conv_id", "turn", "role", "text")
+        .dropDuplicates()
+        .withColumn("key", _key(F.col("conv_id")))
+        .withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH).cast("long"), F.lit(-(1 << 62))))
+    )
+    earlier = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("key", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("key")).alias("n_turns"))
+    order = Window.partitionBy("key", "stretch").orderBy("turn", "role", "text")
     part = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.length(c).cast("string"), F.lit(":"), F.col(c)))
-    digest = F.md5(F.concat(F.col("place").cast("string"), F.lit("|"), part("role"), F.lit("|"), part("text")))
     half = lambda at: F.conv(F.substring("digest", at, 16), 16, -10).cast("long")
+    marked = (
+        rows.withColumn("nth", F.row_number().over(order))
+        .join(counts, ["key", "stretch"])
+        .withColumn("place", F.col("before") + F.col("nth"))
+        .withColumn("digest", F.md5(F.concat(F.col("place").cast("string"), F.lit("|"), part("role"), F.lit("|"), part("text"))))
+        .withColumn("h", half(1))
+        .withColumn("l", half(17))
+    )
+    whole = marked.groupBy("key", "stretch").agg(F.bit_xor("h").alias("h"), F.bit_xor("l").alias("l"))
+    carried = whole.select("key", "stretch", *[F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "hl"])
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = lambda c: F.bit_xor(c).over(so_far)
     return (
-        rows.withColumn("place", F.row_number().over(order))
-        .withColumn("digest", digest)
-        .withColumn("hi", F.bit_xor(half(1)).over(so_far))
-        .withColumn("lo", F.bit_xor(half(17)).over(so_far))
-        .drop("digest")
+        marked.withColumn("h_here", prefix("h"))
+        .withColumn("l_here", prefix("l"))
+        .join(carried, ["key", "stretch"])
+        .select("conv_id", "key", "turn", "role", "text", "place", "n_turns", F.col("h_here").bitwiseXOR(F.col("h_before")).alias("hi"), F.col("l_here").bitwiseXOR(F.col("l_before")).alias("lo"))
     )
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """``conv_id``, ``n_turns`` and ``n_logged`` (equal logs) of conversations that no longer one extends."""
-    prefixes = turns(conversations).select("conv_id", "place", "hi", "lo")
-    last = prefixes.groupBy("conv_id").agg(F.max(F.struct("place", "hi", "lo")).alias("last")).select("conv_id", "last.*")
-    # One row per distinct conversation before any join, so a hot one costs nothing.
-    whole = last.groupBy("place", "hi", "lo").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_logged"))
-    extended = (
-        prefixes.join(last.select(F.col("conv_id").alias("of"), F.col("place").alias("n_turns")), F.col("conv_id").eqNullSafe(F.col("of")))
-        .where(F.col("place") < F.col("n_turns"))
-        .groupBy("place", "hi", "lo")
-        .agg(F.lit(True).alias("extended"))
-    )
+    prefixes = turns(conversations).select("conv_id", "place", "n_turns", "hi", "lo")
+    # One row per distinct conversation and per distinct prefix before the join, so a hot one costs nothing.
+    whole = prefixes.where("place = n_turns").groupBy("place", "hi", "lo").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_logged"))
+    extended = prefixes.where("place < n_turns").select("place", "hi", "lo").distinct()
     return whole.join(extended, ["place", "hi", "lo"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "n_logged")
 
 
@@ -64,17 +86,16 @@ def render(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> Da
     ``part`` counts from 0 in runs of ``turns_per_part`` turns; joining the parts gives
     the whole. Null roles and texts render as empty. Empty input gives no rows.
     """
-    kept = maximal(conversations)
+    kept = maximal(conversations).select(_key(F.col("conv_id")).alias("key"), "n_logged")
     turn = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = conversations.select("conv_id", "turn", "role", "text").dropDuplicates().withColumn("place", F.row_number().over(order))
     parts = (
-        placed.join(kept.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of")))
-        .withColumn("part", F.floor((F.col("place") - 1) / turns_per_part).cast("long"))
+        turns(conversations)
+        .select("conv_id", "key", "place", "n_turns", turn.alias("said"), F.floor((F.col("place") - 1) / turns_per_part).cast("long").alias("part"))
+        .join(kept, "key")
         .groupBy("conv_id", "part", "n_turns", "n_logged")
-        .agg(F.array_sort(F.collect_list(F.struct("place", turn.alias("said")))).alias("said"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "said"))).alias("all"))
     )
-    return parts.select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), "n_logged", F.array_join("said.said", "").alias("text"))
+    return parts.select("conv_id", "part", "n_turns", "n_logged", F.array_join("all.said", "").alias("text"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
