@@ -289,9 +289,9 @@ def _sample(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarr
             texts = [Text.of(v.as_py()) for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([vote_pattern(t) for t in texts], pa.int32()), pa.array([np.append(hashed(t), sureness(t)).astype(np.float32).tobytes() for t in texts], pa.binary())], schema=schema)
 
-    # Texts are chosen by hash, then read; only hashes are sorted.
+    # Distinct texts are chosen by hash, then read; only hashes are sorted.
     hashes = _texts(docs, text).select(F.xxhash64("text").alias("h"))
-    last = hashes.orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    last = hashes.distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
         return np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + 1))
     chosen = _texts(docs, text).withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).dropDuplicates(["h"])
