@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turns rendered into one output row; a longer conversation has several parts.
+#: Turn numbers rendered into one output row; a longer conversation has several parts.
 TURNS_PER_PART = 512
 
 #: Turn numbers in a stretch, within which turns are ordered in one task.
@@ -29,73 +29,72 @@ def _key(conv_id: Column) -> Column:
     return F.when(conv_id.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), conv_id.cast("string")))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """Distinct logged turns with ``key``, ``place``, ``n_turns`` and prefix hashes ``hi``, ``lo``.
+def _rows(conversations: DataFrame, stretch: int, unnumbered: int) -> DataFrame:
+    """Logged turns with ``key``, ``stretch`` of turn numbers (``unnumbered`` for null) and ``content``, the digest of role and text."""
+    part = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.octet_length(c).cast("string"), F.lit(":"), F.col(c)))
+    return conversations.select(
+        "conv_id", "turn", "role", "text", _key(F.col("conv_id")).alias("key"),
+        F.coalesce(F.floor(F.col("turn") / stretch).cast("long"), F.lit(unnumbered).cast("long")).alias("stretch"),
+        F.md5(F.concat(part("role"), F.lit("|"), part("text"))).alias("content"),
+    )
+
+
+def prefixes(conversations: DataFrame) -> DataFrame:
+    """Each distinct turn's ``conv_id``, ``place``, ``n_turns`` and prefix hashes ``hi``, ``lo``.
 
     Wholly equal rows of a conversation are one turn. Turns are ordered by turn number
-    (null first), role and text, and placed from 1; null role and text are kept apart
-    from empty ones. Rows with a null conv_id form one conversation.
+    (null first) and the digest of role and text, and placed from 1; null role and text
+    are kept apart from empty ones. Rows with a null conv_id form one conversation.
 
     Places and prefix hashes are taken within stretches of turn numbers and carried on
-    by the counts and hashes of earlier stretches, so a long conversation is not one task.
+    by the counts and hashes of earlier stretches, so a long conversation is not one
+    task. Texts are digested where they are read and never shuffled.
     """
-    rows = (
-        conversations.select("conv_id", "turn", "role", "text")
-        .dropDuplicates()
-        .withColumn("key", _key(F.col("conv_id")))
-        .withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH).cast("long"), F.lit(-(1 << 62))))
-    )
+    rows = _rows(conversations, STRETCH, -(1 << 62)).select("conv_id", "key", "stretch", "turn", "content").distinct()
     earlier = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("key", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("key")).alias("n_turns"))
-    order = Window.partitionBy("key", "stretch").orderBy("turn", "role", "text")
-    part = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.length(c).cast("string"), F.lit(":"), F.col(c)))
+    order = Window.partitionBy("key", "stretch").orderBy("turn", "content")
     half = lambda at: F.conv(F.substring("digest", at, 16), 16, -10).cast("long")
     marked = (
         rows.withColumn("nth", F.row_number().over(order))
         .join(counts, ["key", "stretch"])
         .withColumn("place", F.col("before") + F.col("nth"))
-        .withColumn("digest", F.md5(F.concat(F.col("place").cast("string"), F.lit("|"), part("role"), F.lit("|"), part("text"))))
-        .withColumn("h", half(1))
-        .withColumn("l", half(17))
+        .withColumn("digest", F.md5(F.concat(F.col("place").cast("string"), F.lit("|"), F.col("content"))))
+        .select("conv_id", "key", "stretch", "turn", "content", "place", "n_turns", half(1).alias("h"), half(17).alias("l"))
     )
     whole = marked.groupBy("key", "stretch").agg(F.bit_xor("h").alias("h"), F.bit_xor("l").alias("l"))
     carried = whole.select("key", "stretch", *[F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "hl"])
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefix = lambda c: F.bit_xor(c).over(so_far)
     return (
-        marked.withColumn("h_here", prefix("h"))
-        .withColumn("l_here", prefix("l"))
+        marked.withColumn("h_here", F.bit_xor("h").over(so_far))
+        .withColumn("l_here", F.bit_xor("l").over(so_far))
         .join(carried, ["key", "stretch"])
-        .select("conv_id", "key", "turn", "role", "text", "place", "n_turns", F.col("h_here").bitwiseXOR(F.col("h_before")).alias("hi"), F.col("l_here").bitwiseXOR(F.col("l_before")).alias("lo"))
+        .select("conv_id", "place", "n_turns", F.col("h_here").bitwiseXOR(F.col("h_before")).alias("hi"), F.col("l_here").bitwiseXOR(F.col("l_before")).alias("lo"))
     )
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """``conv_id``, ``n_turns`` and ``n_logged`` (equal logs) of conversations that no longer one extends."""
-    prefixes = turns(conversations).select("conv_id", "place", "n_turns", "hi", "lo")
+    found = prefixes(conversations)
     # One row per distinct conversation and per distinct prefix before the join, so a hot one costs nothing.
-    whole = prefixes.where("place = n_turns").groupBy("place", "hi", "lo").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_logged"))
-    extended = prefixes.where("place < n_turns").select("place", "hi", "lo").distinct()
+    whole = found.where("place = n_turns").groupBy("place", "hi", "lo").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_logged"))
+    extended = found.where("place < n_turns").select("place", "hi", "lo").distinct()
     return whole.join(extended, ["place", "hi", "lo"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "n_logged")
 
 
 def render(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """ChatML text of the maximal conversations: ``conv_id``, ``part``, ``n_turns``, ``n_logged``, ``text``.
 
-    ``part`` counts from 0 in runs of ``turns_per_part`` turns; joining the parts gives
-    the whole. Null roles and texts render as empty. Empty input gives no rows.
+    ``part`` is the turn number divided by ``turns_per_part``, -1 for null turn numbers;
+    joining the parts in order gives the whole. Null roles and texts render as empty.
+    Empty input gives no rows.
     """
-    kept = maximal(conversations).select(_key(F.col("conv_id")).alias("key"), "n_logged")
+    kept = maximal(conversations).select(_key(F.col("conv_id")).alias("key"), "n_turns", "n_logged")
     turn = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    parts = (
-        turns(conversations)
-        .select("conv_id", "key", "place", "n_turns", turn.alias("said"), F.floor((F.col("place") - 1) / turns_per_part).cast("long").alias("part"))
-        .join(kept, "key")
-        .groupBy("conv_id", "part", "n_turns", "n_logged")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "said"))).alias("all"))
-    )
-    return parts.select("conv_id", "part", "n_turns", "n_logged", F.array_join("all.said", "").alias("text"))
+    said = F.struct("turn", "content", turn.alias("said"))
+    parts = _rows(conversations, turns_per_part, -1).groupBy("conv_id", "key", F.col("stretch").alias("part")).agg(F.array_sort(F.array_distinct(F.collect_list(said))).alias("all"))
+    return parts.join(kept, "key").select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), "n_logged", F.array_join("all.said", "").alias("text"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,19 +105,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = f"""
-WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM rows),
-marked AS (
-  SELECT *, md5(coalesce(length(role)::VARCHAR || ':' || role, '-') || '|' || coalesce(length(text)::VARCHAR || ':' || text, '-')) AS mark FROM placed),
+WITH rows AS (
+  SELECT DISTINCT conv_id, turn, role, text, md5(
+    coalesce('+' || strlen(role)::VARCHAR || ':' || role, '-') || '|' || coalesce('+' || strlen(text)::VARCHAR || ':' || text, '-')) AS content
+  FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS place FROM rows),
 prefixes AS (
-  SELECT conv_id, place, string_agg(mark, '/') OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
-    max(place) OVER (PARTITION BY conv_id) AS n_turns FROM marked),
+  SELECT conv_id, place, string_agg(content, '/') OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
+    max(place) OVER (PARTITION BY conv_id) AS n_turns FROM placed),
 whole AS (
   SELECT prefix, min(conv_id) AS conv_id, max(n_turns) AS n_turns, count(*) AS n_logged
   FROM prefixes WHERE place = n_turns GROUP BY prefix),
 kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE place < n_turns))
-SELECT p.conv_id, CAST((p.place - 1) // {TURNS_PER_PART} AS BIGINT) AS part, CAST(k.n_turns AS BIGINT) AS n_turns, k.n_logged,
+SELECT p.conv_id, CAST(coalesce(p.turn // {TURNS_PER_PART}, -1) AS BIGINT) AS part, CAST(k.n_turns AS BIGINT) AS n_turns, k.n_logged,
   string_agg('{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10), '' ORDER BY place) AS text
 FROM placed p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY 1, 2, 3, 4
