@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.components import components
 from tallyforge.llm.tables import durable
 
-SEED = 42
+SEED, SEED_STEP = 42, 100
 #: Nodes of a bucket that one search takes; larger buckets are split further.
 BUCKET_LIMIT = 1 << 16
 #: Hashes turned into bits at a time.
@@ -44,7 +44,7 @@ class Features:
 @dataclass(frozen=True)
 class Verify:
     """Decides on pairs that collide by further fingerprints: ``parts`` of them, of these
-    features, must differ in at most ``bits`` together."""
+    features, must differ in at most ``bits`` together. They are then the nodes."""
 
     features: Features
     bits: int
@@ -91,12 +91,12 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, features: Features, verify: Verify | None = None, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``f0`` and, to verify, ``f1``...: fingerprints as signed longs, a row for each row."""
+def fingerprints(docs: DataFrame, features: Features, verify: Verify | None = None, candidates: int = 1, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``c0``... (``candidates`` fingerprints by different seeds) and, to verify, ``v0``..., as signed longs."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    names = node_columns(verify)
+    names = candidate_columns(candidates) + (node_columns(verify) if verify else [])
     wanted = rows.select("id", *[F.lit(0).cast("long").alias(n) for n in names]).schema
     schema = to_arrow_schema(wanted)
 
@@ -106,7 +106,8 @@ def fingerprints(docs: DataFrame, features: Features, verify: Verify | None = No
             for value in batch.column("text"):
                 found = words(value.as_py())
                 votes = shingles(found, features.shingle)
-                own = [fingerprint(dict.fromkeys(votes) if features.distinct else votes)]
+                votes = dict.fromkeys(votes) if features.distinct else votes
+                own = [fingerprint(votes, SEED + i * SEED_STEP) for i in range(candidates)]
                 if verify:
                     votes = shingles(found, verify.features.shingle)
                     votes = dict.fromkeys(votes) if verify.features.distinct else votes
@@ -118,18 +119,23 @@ def fingerprints(docs: DataFrame, features: Features, verify: Verify | None = No
     return rows.mapInArrow(run, wanted)
 
 
+def candidate_columns(candidates: int) -> list[str]:
+    return [f"c{i}" for i in range(candidates)]
+
+
 def node_columns(verify: Verify | None) -> list[str]:
-    return [f"f{i}" for i in range(1 + (verify.parts if verify else 0))]
+    """What a node is: its verifying fingerprints, or else its one candidate fingerprint."""
+    return [f"v{i}" for i in range(verify.parts)] if verify else ["c0"]
 
 
-def _search(nodes: np.ndarray, radius: int, bits: int | None) -> list[tuple[int, np.ndarray]]:
+def _search(nodes: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     """(root, members) of what is linked within a bucket; ``nodes`` has a row per node."""
     left, out = np.arange(len(nodes)), []
     while len(left) > 1:
         root, left = left[0], left[1:]
         group, waiting = [], [root]
         while waiting and len(left):
-            near = _near(nodes[left], nodes[waiting.pop()], radius, bits)
+            near = _near(nodes[left], nodes[waiting.pop()], bits)
             if near.any():
                 hit = left[near]
                 group.append(hit)
@@ -140,13 +146,11 @@ def _search(nodes: np.ndarray, radius: int, bits: int | None) -> list[tuple[int,
     return out
 
 
-def _near(nodes: np.ndarray, other: np.ndarray, radius: int, bits: int | None) -> np.ndarray:
-    if bits is None:
-        return np.bitwise_count(nodes[..., 0] ^ other[..., 0]) <= radius
-    return np.bitwise_count(nodes[..., 1:] ^ other[..., 1:]).sum(axis=-1, dtype=np.int64) <= bits
+def _near(nodes: np.ndarray, other: np.ndarray, bits: int) -> np.ndarray:
+    return np.bitwise_count(nodes ^ other).sum(axis=-1, dtype=np.int64) <= bits
 
 
-def _linked(keyed: DataFrame, names: list[str], radius: int, bits: int | None, limit: int | None) -> DataFrame:
+def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) -> DataFrame:
     """Links (``a*``, ``b*``) within buckets of equal (table, bucket); with ``limit``, the rows
     of larger buckets come back as ``open`` instead, with their table and ``a*``."""
     width = len(names)
@@ -167,11 +171,11 @@ def _linked(keyed: DataFrame, names: list[str], radius: int, bits: int | None, l
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
             sizes = np.diff(np.append(starts, len(keys)))
             pair = starts[sizes == 2]
-            pair = pair[_near(nodes[pair], nodes[pair + 1], radius, bits)]
+            pair = pair[_near(nodes[pair], nodes[pair + 1], bits)]
             a, b = [nodes[pair]], [nodes[pair + 1]]
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = nodes[start : start + size]
-                for root, members in _search(own, radius, bits):
+                for root, members in _search(own, bits):
                     a.append(np.repeat(own[root : root + 1], len(members), axis=0))
                     b.append(own[members])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -208,30 +212,33 @@ def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(signed(v)) for v in values])
 
 
-def links(nodes: DataFrame, radius: int, verify: Verify | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def links(nodes: DataFrame, radius: int, verify: Verify | None = None, candidates: int = 1, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) of node names that connect what pairs of nodes within the radius connect.
 
-    With ``verify``, pairs that collide are linked if their further fingerprints are
-    near; collisions are certain within the radius and may occur beyond it.
-
-    ``nodes`` has distinct ``f0``... and is read more than once; its name is the
-    fingerprints' hex digits.
+    ``nodes`` has the candidate and node columns and is read more than once; a node's
+    name is the hex digits of its columns. With ``verify``, pairs within the radius in
+    any candidate fingerprint collide for certain, others may, and all that collide are
+    linked if their verifying fingerprints are near.
     """
-    names, bits = node_columns(verify), verify.bits if verify else None
-    tables = masks(radius)
-    keyed = nodes.select(*names, F.posexplode(_array(tables)).alias("table", "mask")).select("table", F.col("f0").bitwiseAND(F.col("mask")).alias("bucket"), *names)
-    found = durable(_linked(keyed, names, radius, bits, bucket_limit))
-    edges = found.where(~F.col("open"))
-    again = found.where("open")
+    if candidates > 1 and verify is None:
+        raise ValueError("several candidate fingerprints need one to verify by")
+    names, bits, tables = node_columns(verify), verify.bits if verify else radius, masks(radius)
+    entry = lambda table, column, mask: F.struct(F.lit(table).alias("table"), F.col(column).bitwiseAND(F.lit(signed(mask))).alias("bucket"))
+    entries = [entry(c * len(tables) + i, f"c{c}", m) for c in range(candidates) for i, m in enumerate(tables)]
+    keyed = nodes.select(*names, F.explode(F.array(*entries)).alias("e")).select("e.table", "e.bucket", *names)
+    found = durable(_linked(keyed, names, bits, bucket_limit))
+    edges, again = found.where(~F.col("open")), found.where("open")
     if not again.isEmpty():
         # Buckets that are too large: the same scheme on the bits that their mask left open.
-        inner = [[m | sub for sub in masks(radius, ((1 << 64) - 1) ^ m)] for m in tables]
-        width = len(inner[0])
+        inner = F.array(*[_array([m | sub for sub in masks(radius, ((1 << 64) - 1) ^ m)]) for m in tables])
+        width, count = len(tables), len(tables)
         rows = again.select("table", *[F.col(f"a{i}").alias(n) for i, n in enumerate(names)])
-        split = rows.select("table", *names, F.posexplode(F.element_at(F.array(*[_array(i) for i in inner]), F.col("table") + 1)).alias("sub", "mask")).select(
-            (F.col("table") * width + F.col("sub")).alias("table"), F.col("f0").bitwiseAND(F.col("mask")).alias("bucket"), *names
-        )
-        edges = edges.unionByName(durable(_linked(split, names, radius, bits, None)))
+        every = candidate_columns(candidates)
+        whole = rows if names == every else rows.join(nodes.select(*names, *every), names)
+        own = F.element_at(F.array(*every), (F.col("table") / count).cast("int") + 1)
+        split = whole.select("table", *names, own.alias("own"), F.posexplode(F.element_at(inner, F.col("table") % count + 1)).alias("sub", "mask"))
+        split = split.select((F.col("table") * width + F.col("sub")).alias("table"), F.col("own").bitwiseAND(F.col("mask")).alias("bucket"), *names)
+        edges = edges.unionByName(durable(_linked(split, names, bits, None)))
     name = lambda side: F.concat(*[digits(F.col(f"{side}{i}")) for i in range(len(names))])
     return edges.select(name("a").alias("a"), name("b").alias("b"))
 
@@ -241,7 +248,7 @@ def digits(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, features: Features, radius: int, verify: Verify | None = None, row_id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, features: Features, radius: int, verify: Verify | None = None, candidates: int = 1, row_id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``id``, ``fingerprint`` (hex), ``component`` (smallest id reachable) for every row.
 
     Rows with a null or wordless text have fingerprint zero and are linked like others.
@@ -250,15 +257,17 @@ def near_duplicates(docs: DataFrame, features: Features, radius: int, verify: Ve
     columns are not read.
     """
     names = node_columns(verify)
-    prints = durable(fingerprints(docs, features, verify, row_id, text))
+    every = list(dict.fromkeys(candidate_columns(candidates) + names))
+    prints = durable(fingerprints(docs, features, verify, candidates, row_id, text))
     # Partial aggregation by fingerprint, so a hot group of copies is one row per task.
     nodes = prints.groupBy(*names).agg(F.min("id").alias("least"))
+    placed = prints.select(*every).distinct()
     name = F.concat(*[digits(F.col(n)) for n in names])
-    grouped = components(links(nodes, radius, verify, bucket_limit))
+    grouped = components(links(placed, radius, verify, candidates, bucket_limit))
     labelled = nodes.withColumn("node", name).join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
     of_node = labelled.join(smallest, "component").select(*names, "smallest")
-    return prints.join(of_node, names).select("id", digits(F.col("f0")).alias("fingerprint"), F.col("smallest").alias("component"))
+    return prints.join(of_node, names).select("id", digits(F.col("c0")).alias("fingerprint"), F.col("smallest").alias("component"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

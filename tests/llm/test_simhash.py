@@ -80,7 +80,7 @@ def test_hot_bucket_links_are_fewer_than_its_nodes(spark):
     rng = np.random.default_rng(0)
     centre = 0x0123456789ABCDEF
     values = {centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (600, 2))}
-    frame = spark.createDataFrame([(S.signed(v),) for v in values], "f0 bigint")
+    frame = spark.createDataFrame([(S.signed(v),) for v in values], "c0 bigint")
     for limit in (S.BUCKET_LIMIT, 50):
         edges = S.links(frame, 3, bucket_limit=limit)
         found = components(edges)
@@ -109,6 +109,20 @@ def test_verification_by_five_words(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_several_candidates_and_split_buckets(spark):
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(12)]
+    for t in texts[:8]:
+        t = list(t)
+        t[rng.randrange(150)] = "x"
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    verify = S.Verify(S.Features(5, True), 26)
+    for limit in (S.BUCKET_LIMIT, 1):
+        got = {r["id"]: r["component"] for r in S.near_duplicates(docs, S.Features(1, True), 3, verify, 4, bucket_limit=limit).collect()}
+        assert got == {i: i if i < 12 else i - 12 for i in range(20)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert [tuple(r) for r in components(edges).groupBy("component").count().collect()] == [(0, 201)]
