@@ -29,6 +29,8 @@ TRAINING_TEXTS = 4_000
 EM_ROUNDS = 200
 DESCENT_ROUNDS = 400
 THRESHOLD = 0.5
+#: Texts that a worker holds parsed.
+TEXTS_AT_ONCE = 128
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -285,8 +287,8 @@ def _sample(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarr
     schema = pa.schema([pa.field("pattern", pa.int32()), pa.field("features", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            texts = [Text.of(v.as_py()) for v in batch.column("text")]
+        for part in (batch.slice(i, TEXTS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, TEXTS_AT_ONCE)):
+            texts = [Text.of(v.as_py()) for v in part.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([vote_pattern(t) for t in texts], pa.int32()), pa.array([np.append(hashed(t), sureness(t)).astype(np.float32).tobytes() for t in texts], pa.binary())], schema=schema)
 
     # Distinct texts are chosen by hash, then read; only hashes are sorted.
@@ -336,8 +338,8 @@ def score(docs: DataFrame, model: QualityModel | None, row_id: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
                 posterior, scores = shared.value.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(schema.field("id").type), pa.array(posterior, pa.float64()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -353,8 +355,8 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text: str = "text", t
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 _, scores = shared.value.score(texts)
                 yield part.filter(pa.array([s >= threshold for s in scores], pa.bool_()))

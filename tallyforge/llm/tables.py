@@ -8,8 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default.
+BATCH_KEY, DEFAULT_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of long texts small; a value that the session set itself stays."""
+    if spark.conf.get(BATCH_KEY, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, SMALL_BATCH)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name``; ``sf_dir`` may be any path that Spark can read."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
