@@ -85,3 +85,28 @@ def test_odd_texts(spark):
     rows = spark.createDataFrame([(1, "p q r s t"), (1, "p q r s t u"), (None, "p q r s t"), (None, "lone")], "doc_id bigint, text string")
     assert sorted(((r["id"], r["component"]) for r in J.near_duplicates(rows).collect()), key=str) == sorted([(1, 1), (1, 1), (None, 1), (None, None)], key=str)
     assert J.near_duplicates(rows.where("false")).count() == 0
+
+
+def test_pairs_less_similar_stay(spark):
+    rng, texts = random.Random(7), {}
+    for i in range(0, 160, 2):
+        base = prose(rng, rng.randint(100, 500))
+        texts |= {i: " ".join(base), i + 1: " ".join(edited(rng, base, "scattered", rng.uniform(0.025, 0.05)))}
+    apart = {i + 1 for i in range(0, 160, 2) if not similar(texts[i], texts[i + 1])}
+    assert len(apart) > 60 and kept(spark, texts) == set(range(0, 160, 2)) | apart
+
+
+def test_families_of_a_template_and_chains(spark):
+    rng, texts = random.Random(9), {}
+    template = prose(rng, 300)
+    for i in range(30):  # any two share about 0.75 of their shingles
+        texts[i] = " ".join(template + prose(rng, 48))
+    step = prose(rng, 400)
+    for i in range(30, 50):  # neighbours are similar, the ends are not
+        texts[i] = " ".join(step)
+        step = step[20:] + prose(rng, 20)
+    order = list(texts)
+    rng.shuffle(order)
+    texts = {i: texts[j] for i, j in enumerate(order)}
+    expected = brute(texts)
+    assert len(set(expected.values())) == 31 and found(spark, texts) == expected
