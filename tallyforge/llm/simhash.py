@@ -128,14 +128,14 @@ def node_columns(verify: Verify | None) -> list[str]:
     return [f"v{i}" for i in range(verify.parts)] if verify else ["c0"]
 
 
-def _search(nodes: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+def _search(nodes: np.ndarray, rule: tuple) -> list[tuple[int, np.ndarray]]:
     """(root, members) of what is linked within a bucket; ``nodes`` has a row per node."""
     left, out = np.arange(len(nodes)), []
     while len(left) > 1:
         root, left = left[0], left[1:]
         group, waiting = [], [root]
         while waiting and len(left):
-            near = _near(nodes[left], nodes[waiting.pop()], bits)
+            near = _near(nodes[left], nodes[waiting.pop()], rule)
             if near.any():
                 hit = left[near]
                 group.append(hit)
@@ -146,14 +146,19 @@ def _search(nodes: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _near(nodes: np.ndarray, other: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(nodes ^ other).sum(axis=-1, dtype=np.int64) <= bits
+def _near(nodes: np.ndarray, other: np.ndarray, rule: tuple) -> np.ndarray:
+    """``rule``: columns of a node's name, the bits they may differ in, and those of the column after them."""
+    width, bits, radius = rule
+    differ = np.bitwise_count(nodes ^ other)
+    near = differ[..., :width].sum(axis=-1, dtype=np.int64) <= bits
+    return near if radius is None else near & (differ[..., width] <= radius)
 
 
-def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) -> DataFrame:
+def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None, radius: int | None = None) -> DataFrame:
     """Links (``a*``, ``b*``) within buckets of equal (table, bucket); with ``limit``, the rows
-    of larger buckets come back as ``open`` instead, with their table and ``a*``."""
-    width = len(names)
+    of larger buckets come back as ``open`` instead, with their table and ``a*``. With ``radius``, the column ``own`` must be within it too."""
+    width, rule = len(names), (len(names), bits, radius)
+    read = names if radius is None else [*names, "own"]
     out = ["open", "table", *[f"a{i}" for i in range(width)], *[f"b{i}" for i in range(width)]]
     schema = pa.schema([pa.field("open", pa.bool_()), pa.field("table", pa.int32()), *[pa.field(n, pa.int64()) for n in out[2:]]])
 
@@ -163,7 +168,7 @@ def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) ->
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        keys, nodes = np.zeros((0, 2), np.int64), np.zeros((0, width), np.uint64)
+        keys, nodes = np.zeros((0, 2), np.int64), np.zeros((0, len(read)), np.uint64)
         overfull = None
 
         def flush(keys, nodes):
@@ -171,11 +176,11 @@ def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) ->
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
             sizes = np.diff(np.append(starts, len(keys)))
             pair = starts[sizes == 2]
-            pair = pair[_near(nodes[pair], nodes[pair + 1], bits)]
+            pair = pair[_near(nodes[pair], nodes[pair + 1], rule)]
             a, b = [nodes[pair]], [nodes[pair + 1]]
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = nodes[start : start + size]
-                for root, members in _search(own, bits):
+                for root, members in _search(own, rule):
                     a.append(np.repeat(own[root : root + 1], len(members), axis=0))
                     b.append(own[members])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -183,7 +188,7 @@ def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) ->
 
         for batch in batches:
             new_keys = np.stack([batch.column("table").to_numpy().astype(np.int64), batch.column("bucket").to_numpy()], axis=1)
-            new_nodes = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
+            new_nodes = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in read], axis=1)
             if overfull is not None and len(new_keys):
                 same = (new_keys == overfull).all(axis=1)
                 if same.any():
@@ -205,7 +210,7 @@ def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None) ->
 
     spec = "open boolean, table int, " + ", ".join(f"{n} long" for n in out[2:])
     dealt = keyed.repartition("table", "bucket").sortWithinPartitions("table", "bucket", *names)
-    return dealt.select("table", "bucket", *names).mapInArrow(run, spec)
+    return dealt.select("table", "bucket", *read).mapInArrow(run, spec)
 
 
 def _array(values: list[int]) -> Column:
@@ -217,16 +222,18 @@ def links(nodes: DataFrame, radius: int, verify: Verify | None = None, candidate
 
     ``nodes`` has the candidate and node columns and is read more than once; a node's
     name is the hex digits of its columns. With ``verify``, pairs within the radius in
-    any candidate fingerprint collide for certain, others may, and all that collide are
-    linked if their verifying fingerprints are near.
+    any candidate fingerprint collide for certain; these are linked if their verifying
+    fingerprints are near, and no others, whatever the bucket limit.
     """
     if candidates > 1 and verify is None:
         raise ValueError("several candidate fingerprints need one to verify by")
     names, bits, tables = node_columns(verify), verify.bits if verify else radius, masks(radius)
-    entry = lambda table, column, mask: F.struct(F.lit(table).alias("table"), F.col(column).bitwiseAND(F.lit(signed(mask))).alias("bucket"))
+    # Whoever is verified must be within the radius too, so that no link hangs on the size of a bucket.
+    within = radius if verify else None
+    entry = lambda table, column, mask: F.struct(F.lit(table).alias("table"), F.col(column).bitwiseAND(F.lit(signed(mask))).alias("bucket"), F.col(column).alias("own"))
     entries = [entry(c * len(tables) + i, f"c{c}", m) for c in range(candidates) for i, m in enumerate(tables)]
-    keyed = nodes.select(*names, F.explode(F.array(*entries)).alias("e")).select("e.table", "e.bucket", *names)
-    found = durable(_linked(keyed, names, bits, bucket_limit))
+    keyed = nodes.select(*names, F.explode(F.array(*entries)).alias("e")).select("e.table", "e.bucket", "e.own", *names)
+    found = durable(_linked(keyed, names, bits, bucket_limit, within))
     edges, again = found.where(~F.col("open")), found.where("open")
     if not again.isEmpty():
         # Buckets that are too large: the same scheme on the bits that their mask left open.
@@ -237,8 +244,8 @@ def links(nodes: DataFrame, radius: int, verify: Verify | None = None, candidate
         whole = rows if names == every else rows.join(nodes.select(*names, *every), names)
         own = F.element_at(F.array(*every), (F.col("table") / count).cast("int") + 1)
         split = whole.select("table", *names, own.alias("own"), F.posexplode(F.element_at(inner, F.col("table") % count + 1)).alias("sub", "mask"))
-        split = split.select((F.col("table") * width + F.col("sub")).alias("table"), F.col("own").bitwiseAND(F.col("mask")).alias("bucket"), *names)
-        edges = edges.unionByName(durable(_linked(split, names, bits, None)))
+        split = split.select((F.col("table") * width + F.col("sub")).alias("table"), F.col("own").bitwiseAND(F.col("mask")).alias("bucket"), "own", *names)
+        edges = edges.unionByName(durable(_linked(split, names, bits, None, within)))
     name = lambda side: F.concat(*[digits(F.col(f"{side}{i}")) for i in range(len(names))])
     return edges.select(name("a").alias("a"), name("b").alias("b"))
 

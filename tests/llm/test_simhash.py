@@ -123,6 +123,20 @@ def test_several_candidates_and_split_buckets(spark):
         assert got == {i: i if i < 12 else i - 12 for i in range(20)}
 
 
+def test_verified_links_do_not_hang_on_the_bucket_limit(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):  # five bits apart, most of which still meet in some table
+        c, v = rng.getrandbits(64), rng.getrandbits(64)
+        rows += [(S.signed(x), 0, S.signed(y)) for x, y in ((c, v), (c ^ sum(1 << i for i in rng.sample(range(64), 5)), v ^ 1))]
+        near = rng.getrandbits(64)
+        rows += [(S.signed(near), 1, S.signed(v ^ (1 << 40))), (S.signed(near ^ 7), 1, S.signed(v ^ (1 << 41)))]
+    frame = spark.createDataFrame(rows, "c0 bigint, v0 bigint, v1 bigint")
+    verify = S.Verify(S.Features(5, True), 26)
+    for limit in (S.BUCKET_LIMIT, 1):
+        assert components(S.links(frame, 3, verify, 1, limit)).count() == 120
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert [tuple(r) for r in components(edges).groupBy("component").count().collect()] == [(0, 201)]
