@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.tables import durable
 
-#: Key-like characters; the shortest run that is looked at.
-CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
+#: Runs of 16 key-like characters or more; a sign "=" ends one unless only "=" follow, so ``NAME=`` is not in its value.
+CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+(?:=++(?![A-Za-z0-9+/_\-]))?+|(?=[A-Za-z0-9+/=_\-]{16})[A-Za-z0-9+/_\-]*+=++(?![A-Za-z0-9+/_\-])"
 BEFORE_CHARS, AFTER_CHARS = 48, 16
 TREES, DEPTH, SEED = 15, 6, 11
 #: Labelled findings that a forest is trained on at most, and that are made by default.
@@ -35,6 +35,13 @@ DICTIONARY = (
 # Words that stand before secrets, and words that stand before other long strings.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|client.?secret"
 OTHER_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|etag|revision|build|version|card|iban|isbn|phone|order|example|base64,|placeholder"
+#: What is assigned to a name with a secret word: up to the closing quote, or else to a space or quote, whatever its length.
+ASSIGNED = (
+    r"(?<=[=:]\s?[\"'`]?)" rf"(?<=(?i:{SECRET_WORDS})[\w\-]{{0,16}}[\"'`]?\s{{0,2}}:?[=:]\s?[\"'`]?)"
+    r"(?:(?<=[\"'`])[^\r\n\"'`]++(?=[\"'`])|[^\s\"'`=:](?:[^\s\"'`]*[^\s\"'`.,;:)\]}>])?)"
+)
+#: All that is judged (a Java expression).
+SCANNED = f"{ASSIGNED}|{CANDIDATE}"
 PLAIN_PATHS = "test|example|fixture|mock|doc|sample|lock"
 
 FEATURES = (
@@ -117,8 +124,11 @@ def made_findings(spark: SparkSession, rows: int = MADE_LABELLED) -> DataFrame:
             (0, F.repeat(pick(3, "-", "=", "_", "x", "0", "A"), length), F.concat(prose, pick(30, "", "\n", "token = ")), F.lit("\n")),
             (0, pick(31, "your-api-key-here", "INSERT_TOKEN_HERE", "replace-with-your-secret", "changeme-changeme", "my_secret_password_value", "example_token_goes_here"), assigned, quote),
             (0, F.concat(part(1), F.lit("_"), part(2), F.lit("_"), word), assigned, quote),
+            (1, F.concat(F.substring(random_64, 1, 4), pick(32, "!", ".", "@", "$", "#"), F.substring(random_64, F.lit(5), pick(33, "4", "7", "10").cast("int"))), assigned, quote),
+            (0, F.concat(part(1), part(2)), assigned, quote),
+            (1, F.substring(random_64, F.lit(1), pick(34, "8", "10", "12", "14").cast("int")), assigned, quote),
         ]
-        path = F.when((ident % len(kinds) > 3) & (ident % 3 == 0), F.lit("tests/example")).otherwise(F.concat(F.lit("src"), (ident % 20).cast("string")))
+        path = F.when(ident % 3 == 0, F.lit("tests/example")).otherwise(F.concat(F.lit("src"), (ident % 20).cast("string")))
         chosen = None
         for i, (label, finding, before, after) in enumerate(kinds):
             row = F.struct(F.lit(label).cast("double").alias("label"), finding.alias("finding"), F.right(before, F.lit(BEFORE_CHARS)).alias("before"), after.alias("after"), path.alias("path"))
@@ -128,7 +138,11 @@ def made_findings(spark: SparkSession, rows: int = MADE_LABELLED) -> DataFrame:
 
     # Within a lambda, because generated code would be too large.
     made = F.element_at(F.transform(F.array("id"), make), 1)
-    return spark.range(0, rows, 1, 2).select("id", made.alias("made")).select("id", "made.*").where(F.length("finding") >= 16)
+    whole = spark.range(0, rows, 1, 2).select("id", made.alias("made")).select("id", "made.label", "made.path", F.concat("made.before", "made.finding", "made.after").alias("text"))
+    # Cut as a text is scanned: the finding is the last that the scan takes.
+    cut = whole.select("id", "label", "path", F.regexp_extract_all("text", F.lit(SCANNED), F.lit(0)).alias("found"), F.split("text", SCANNED, -1).alias("pieces"))
+    before, after = F.right(F.element_at("pieces", -2), F.lit(BEFORE_CHARS)), F.left(F.element_at("pieces", -1), F.lit(AFTER_CHARS))
+    return cut.where(F.size("found") > 0).select("id", "label", F.element_at("found", -1).alias("finding"), before.alias("before"), after.alias("after"), "path")
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = MAX_LABELLED) -> str:
@@ -187,8 +201,8 @@ def _scanned(docs: DataFrame, forest: str, text: str, path: str | None) -> DataF
     cut = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         where.alias("path"),
-        F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("found"),
-        F.split(body, CANDIDATE, -1).alias("pieces"),
+        F.regexp_extract_all(body, F.lit(SCANNED), F.lit(0)).alias("found"),
+        F.split(body, SCANNED, -1).alias("pieces"),
     )
     beside = cut.select(
         "row", "path", "pieces",

@@ -49,6 +49,14 @@ def test_redaction_changes_only_secrets(spark, forest):
         assert clean[i]["text"] == want and clean[i]["n_chars"] == len(want or "")
 
 
+def test_assigned_values_of_any_length_and_names_apart(spark, forest):
+    values = {1: ("password = \"", "Yx3k!9Qa.z", "\" end"), 2: ("API_KEY=", KEY, " end"), 3: ("db_passwd: ", "t7G@pQ2$Lm9", "\nend"), 4: ("x client_secret='", "a1B2c3", "' end")}
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in values.items()], "doc_id bigint, text string")
+    rows = {r["id"]: r for r in S.scan(docs, forest).collect()}
+    assert {i: (r["start"], r["finding"]) for i, r in rows.items()} == {i: (len(a), x) for i, (a, x, _) in values.items()}
+    assert all(rows[i]["score"] >= 0.5 for i in (1, 2, 3))
+
+
 def test_empty_table(spark, forest):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.scan(none, forest).count() == 0 and S.redact(none, forest).count() == 0
