@@ -3,8 +3,8 @@
 Alternates large-star and small-star steps (Kiveris et al., "Connected Components
 in MapReduce and Beyond"): each step links a node's neighbours to the smallest of
 them, so the graph turns into stars round each component's smallest node in a
-logarithmic number of rounds. Only edges move; nothing is gathered on the driver
-but one count and checksum per round.
+logarithmic number of rounds. Only edges move, those of a star's centre stay where
+they are, and nothing is gathered on the driver but one count and checksum per round.
 """
 
 from __future__ import annotations
@@ -12,19 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.tables import durable
+from tallyforge.llm.tables import attach, durable
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node's smallest neighbour ``m`` and its ``n`` edges."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(both).withColumn("m", F.least("m", "a"))
+    return attach(both, least, ["a"], 2 * total).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(down)
+    moved = attach(down, least, ["a"], total).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,12 +41,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node it reaches.
 
     Nodes may be of any type that can be ordered; loops and repeated edges do no harm.
-    Nodes without an edge to another are not in the result.
+    Nodes without an edge to another are not in the result. ``edges`` is read more than once.
     """
-    stars = durable(_small_star(edges.select("a", "b")))
+    edges = edges.select("a", "b")
+    stars = durable(_small_star(edges, edges.count()))
     state = _state(stars)
     while state[0]:
-        stars = durable(_small_star(_large_star(stars)))
+        # A large star has an edge at most for each edge of before.
+        stars = durable(_small_star(_large_star(stars, state[0]), state[0]))
         before, state = state, _state(stars)
         if state == before:
             break

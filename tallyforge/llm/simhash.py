@@ -16,41 +16,22 @@ nodes, never all of its pairs, and keeps every connection. A bucket of more than
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.tables import durable
+from tallyforge.llm.tables import attach, durable, read
 
-SEED, SEED_STEP = 42, 100
+SEED = 42
+SHINGLE, RADIUS = 3, 3
 #: Nodes of a bucket that one search takes; larger buckets are split further.
 BUCKET_LIMIT = 1 << 16
 #: Hashes turned into bits at a time.
 HASHES_AT_ONCE = 1 << 16
 
 
-@dataclass(frozen=True)
-class Features:
-    """What votes: every ``shingle`` consecutive words, or each distinct one once."""
-
-    shingle: int = 3
-    distinct: bool = False
-
-
-@dataclass(frozen=True)
-class Verify:
-    """Decides on pairs that collide by further fingerprints: ``parts`` of them, of these
-    features, must differ in at most ``bits`` together. They are then the nodes."""
-
-    features: Features
-    bits: int
-    parts: int = 2
-
-
 def words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased, split at space and \\x09-\\x0D; none for null."""
     return [] if text is None else text.encode().lower().split()
@@ -91,51 +72,30 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, features: Features, verify: Verify | None = None, candidates: int = 1, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``c0``... (``candidates`` fingerprints by different seeds) and, to verify, ``v0``..., as signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` and ``print``, the fingerprint of every ``shingle`` consecutive words as a signed long."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    names = candidate_columns(candidates) + (node_columns(verify) if verify else [])
-    wanted = rows.select("id", *[F.lit(0).cast("long").alias(n) for n in names]).schema
+    wanted = rows.select("id", F.lit(0).cast("long").alias("print")).schema
     schema = to_arrow_schema(wanted)
 
     def run(batches):
         for batch in batches:
-            columns = [[] for _ in names]
-            for value in batch.column("text"):
-                found = words(value.as_py())
-                votes = shingles(found, features.shingle)
-                votes = dict.fromkeys(votes) if features.distinct else votes
-                own = [fingerprint(votes, SEED + i * SEED_STEP) for i in range(candidates)]
-                if verify:
-                    votes = shingles(found, verify.features.shingle)
-                    votes = dict.fromkeys(votes) if verify.features.distinct else votes
-                    own += [fingerprint(votes, SEED + 1 + i) for i in range(verify.parts)]
-                for column, value in zip(columns, own):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]], schema=schema)
+            found = [fingerprint(shingles(words(value.as_py()), shingle)) for value in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), pa.array(np.array(found, np.uint64).view(np.int64))], schema=schema)
 
     return rows.mapInArrow(run, wanted)
 
 
-def candidate_columns(candidates: int) -> list[str]:
-    return [f"c{i}" for i in range(candidates)]
-
-
-def node_columns(verify: Verify | None) -> list[str]:
-    """What a node is: its verifying fingerprints, or else its one candidate fingerprint."""
-    return [f"v{i}" for i in range(verify.parts)] if verify else ["c0"]
-
-
-def _search(nodes: np.ndarray, rule: tuple) -> list[tuple[int, np.ndarray]]:
-    """(root, members) of what is linked within a bucket; ``nodes`` has a row per node."""
-    left, out = np.arange(len(nodes)), []
+def _search(prints: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """(root, members) of what is linked within a bucket of distinct fingerprints."""
+    left, out = np.arange(len(prints)), []
     while len(left) > 1:
         root, left = left[0], left[1:]
         group, waiting = [], [root]
         while waiting and len(left):
-            near = _near(nodes[left], nodes[waiting.pop()], rule)
+            near = np.bitwise_count(prints[left] ^ prints[waiting.pop()]) <= radius
             if near.any():
                 hit = left[near]
                 group.append(hit)
@@ -146,108 +106,80 @@ def _search(nodes: np.ndarray, rule: tuple) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _near(nodes: np.ndarray, other: np.ndarray, rule: tuple) -> np.ndarray:
-    """``rule``: columns of a node's name, the bits they may differ in, and those of the column after them."""
-    width, bits, radius = rule
-    differ = np.bitwise_count(nodes ^ other)
-    near = differ[..., :width].sum(axis=-1, dtype=np.int64) <= bits
-    return near if radius is None else near & (differ[..., width] <= radius)
-
-
-def _linked(keyed: DataFrame, names: list[str], bits: int, limit: int | None, radius: int | None = None) -> DataFrame:
-    """Links (``a*``, ``b*``) within buckets of equal (table, bucket); with ``limit``, the rows
-    of larger buckets come back as ``open`` instead, with their table and ``a*``. With ``radius``, the column ``own`` must be within it too."""
-    width, rule = len(names), (len(names), bits, radius)
-    read = names if radius is None else [*names, "own"]
-    out = ["open", "table", *[f"a{i}" for i in range(width)], *[f"b{i}" for i in range(width)]]
-    schema = pa.schema([pa.field("open", pa.bool_()), pa.field("table", pa.int32()), *[pa.field(n, pa.int64()) for n in out[2:]]])
+def _linked(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
+    """Links (``a``, ``b``) within buckets of equal (table, bucket); with ``limit``, the rows
+    of larger buckets come back as ``open`` instead, with their table and ``a``."""
+    names = ["open", "table", "a", "b"]
 
     def batch_of(is_open: bool, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(a), is_open)), pa.array(table.astype(np.int32))]
-        columns += [pa.array(np.ascontiguousarray(side[:, i]).view(np.int64)) for side in (a, b) for i in range(width)]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_open)), pa.array(table.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
+
+    def flush(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        """Links of whole buckets."""
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        sizes = np.diff(np.append(starts, len(keys)))
+        pair = starts[sizes == 2]
+        pair = pair[np.bitwise_count(prints[pair] ^ prints[pair + 1]) <= radius]
+        a, b = [prints[pair]], [prints[pair + 1]]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = prints[start : start + size]
+            for root, members in _search(own, radius):
+                a.append(np.repeat(own[root], len(members)))
+                b.append(own[members])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return batch_of(False, np.zeros(len(a)), a, b)
 
     def run(batches):
-        keys, nodes = np.zeros((0, 2), np.int64), np.zeros((0, len(read)), np.uint64)
+        keys, prints = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
         overfull = None
-
-        def flush(keys, nodes):
-            """Links of whole buckets."""
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-            sizes = np.diff(np.append(starts, len(keys)))
-            pair = starts[sizes == 2]
-            pair = pair[_near(nodes[pair], nodes[pair + 1], rule)]
-            a, b = [nodes[pair]], [nodes[pair + 1]]
-            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                own = nodes[start : start + size]
-                for root, members in _search(own, rule):
-                    a.append(np.repeat(own[root : root + 1], len(members), axis=0))
-                    b.append(own[members])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return batch_of(False, np.zeros(len(a)), a, b)
-
         for batch in batches:
             new_keys = np.stack([batch.column("table").to_numpy().astype(np.int64), batch.column("bucket").to_numpy()], axis=1)
-            new_nodes = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in read], axis=1)
+            new_prints = batch.column("print").to_numpy().view(np.uint64)
             if overfull is not None and len(new_keys):
                 same = (new_keys == overfull).all(axis=1)
                 if same.any():
-                    yield batch_of(True, new_keys[same, 0], new_nodes[same], new_nodes[same])
-                    new_keys, new_nodes = new_keys[~same], new_nodes[~same]
+                    yield batch_of(True, new_keys[same, 0], new_prints[same], new_prints[same])
+                    new_keys, new_prints = new_keys[~same], new_prints[~same]
             if not len(new_keys):
                 continue
-            keys, nodes = np.concatenate((keys, new_keys)), np.concatenate((nodes, new_nodes))
+            keys, prints = np.concatenate((keys, new_keys)), np.concatenate((prints, new_prints))
             last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
             if last:
-                yield flush(keys[:last], nodes[:last])
-                keys, nodes = keys[last:], nodes[last:]
+                yield flush(keys[:last], prints[:last])
+                keys, prints = keys[last:], prints[last:]
             if limit is not None and len(keys) > limit:
                 overfull = keys[0].copy()
-                yield batch_of(True, keys[:, 0], nodes, nodes)
-                keys, nodes = keys[:0], nodes[:0]
+                yield batch_of(True, keys[:, 0], prints, prints)
+                keys, prints = keys[:0], prints[:0]
         if len(keys):
-            yield flush(keys, nodes)
+            yield flush(keys, prints)
 
-    spec = "open boolean, table int, " + ", ".join(f"{n} long" for n in out[2:])
-    dealt = keyed.repartition("table", "bucket").sortWithinPartitions("table", "bucket", *names)
-    return dealt.select("table", "bucket", *read).mapInArrow(run, spec)
+    dealt = keyed.repartition("table", "bucket").sortWithinPartitions("table", "bucket", "print")
+    return dealt.select("table", "bucket", "print").mapInArrow(run, "open boolean, table int, a long, b long")
 
 
 def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(signed(v)) for v in values])
 
 
-def links(nodes: DataFrame, radius: int, verify: Verify | None = None, candidates: int = 1, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges (a, b) of node names that connect what pairs of nodes within the radius connect.
+def links(prints: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Edges (a, b) of distinct fingerprints (``print``) that connect what all pairs within the radius connect.
 
-    ``nodes`` has the candidate and node columns and is read more than once; a node's
-    name is the hex digits of its columns. With ``verify``, pairs within the radius in
-    any candidate fingerprint collide for certain; these are linked if their verifying
-    fingerprints are near, and no others, whatever the bucket limit.
+    A bucket that is split holds, after the split, fingerprints that agree on the bits of
+    two masks; for the radius 3 those leave 16 bits open at most, which bounds it.
     """
-    if candidates > 1 and verify is None:
-        raise ValueError("several candidate fingerprints need one to verify by")
-    names, bits, tables = node_columns(verify), verify.bits if verify else radius, masks(radius)
-    # Whoever is verified must be within the radius too, so that no link hangs on the size of a bucket.
-    within = radius if verify else None
-    entry = lambda table, column, mask: F.struct(F.lit(table).alias("table"), F.col(column).bitwiseAND(F.lit(signed(mask))).alias("bucket"), F.col(column).alias("own"))
-    entries = [entry(c * len(tables) + i, f"c{c}", m) for c in range(candidates) for i, m in enumerate(tables)]
-    keyed = nodes.select(*names, F.explode(F.array(*entries)).alias("e")).select("e.table", "e.bucket", "e.own", *names)
-    found = durable(_linked(keyed, names, bits, bucket_limit, within))
+    tables = masks(radius)
+    entries = F.array(*[F.struct(F.lit(i).alias("table"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("bucket")) for i, m in enumerate(tables)])
+    keyed = prints.select("print", F.explode(entries).alias("e")).select("e.table", "e.bucket", "print")
+    found = durable(_linked(keyed, radius, bucket_limit))
     edges, again = found.where(~F.col("open")), found.where("open")
     if not again.isEmpty():
         # Buckets that are too large: the same scheme on the bits that their mask left open.
         inner = F.array(*[_array([m | sub for sub in masks(radius, ((1 << 64) - 1) ^ m)]) for m in tables])
-        width, count = len(tables), len(tables)
-        rows = again.select("table", *[F.col(f"a{i}").alias(n) for i, n in enumerate(names)])
-        every = candidate_columns(candidates)
-        whole = rows if names == every else rows.join(nodes.select(*names, *every), names)
-        own = F.element_at(F.array(*every), (F.col("table") / count).cast("int") + 1)
-        split = whole.select("table", *names, own.alias("own"), F.posexplode(F.element_at(inner, F.col("table") % count + 1)).alias("sub", "mask"))
-        split = split.select((F.col("table") * width + F.col("sub")).alias("table"), F.col("own").bitwiseAND(F.col("mask")).alias("bucket"), "own", *names)
-        edges = edges.unionByName(durable(_linked(split, names, bits, None, within)))
-    name = lambda side: F.concat(*[digits(F.col(f"{side}{i}")) for i in range(len(names))])
-    return edges.select(name("a").alias("a"), name("b").alias("b"))
+        split = again.select("table", F.col("a").alias("print"), F.posexplode(F.element_at(inner, F.col("table") + 1)).alias("sub", "mask"))
+        split = split.select((F.col("table") * len(tables) + F.col("sub")).alias("table"), F.col("print").bitwiseAND(F.col("mask")).alias("bucket"), "print")
+        edges = edges.unionByName(durable(_linked(split, radius, None)))
+    return edges.select("a", "b")
 
 
 def digits(value: Column) -> Column:
@@ -255,7 +187,7 @@ def digits(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, features: Features, radius: int, verify: Verify | None = None, candidates: int = 1, row_id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, row_id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``id``, ``fingerprint`` (hex), ``component`` (smallest id reachable) for every row.
 
     Rows with a null or wordless text have fingerprint zero and are linked like others.
@@ -263,23 +195,18 @@ def near_duplicates(docs: DataFrame, features: Features, radius: int, verify: Ve
     the smallest unless a component has no other. An empty table gives no rows; other
     columns are not read.
     """
-    names = node_columns(verify)
-    every = list(dict.fromkeys(candidate_columns(candidates) + names))
-    prints = durable(fingerprints(docs, features, verify, candidates, row_id, text))
+    prints = durable(fingerprints(docs, shingle, row_id, text))
     # Partial aggregation by fingerprint, so a hot group of copies is one row per task.
-    nodes = prints.groupBy(*names).agg(F.min("id").alias("least"))
-    placed = prints.select(*every).distinct()
-    name = F.concat(*[digits(F.col(n)) for n in names])
-    grouped = components(links(placed, radius, verify, candidates, bucket_limit))
-    labelled = nodes.withColumn("node", name).join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    of_node = labelled.join(smallest, "component").select(*names, "smallest")
-    return prints.join(of_node, names).select("id", digits(F.col("c0")).alias("fingerprint"), F.col("smallest").alias("component"))
+    nodes = durable(prints.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    members = durable(nodes.join(components(links(nodes, radius, bucket_limit)).withColumnRenamed("node", "print"), "print").select("print", "least", "component"))
+    smallest = members.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("n"))
+    placed = attach(members.select("print", "component"), smallest, ["component"], members.count()).select("print", "smallest")
+    # Fingerprints without a link are components of their own.
+    labels = durable(nodes.join(placed, "print", "left").select("print", F.coalesce("smallest", "least").alias("component"), "n"))
+    return attach(prints, labels, ["print"], prints.count()).select("id", digits(F.col("print")).alias("fingerprint"), "component")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, radius 3."""
-    from tallyforge.llm.tables import read
-
-    found = near_duplicates(read(spark, sf_dir, "documents"), Features(3), radius=3)
+    found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))

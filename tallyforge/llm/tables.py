@@ -1,15 +1,19 @@
-"""Reading the corpus tables, and cutting lineage where every executor can see it."""
+"""Reading the corpus tables, cutting lineage where every executor can see it, and
+joins that a hot key does not turn into one task."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default.
 BATCH_KEY, DEFAULT_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+#: A key is hot if more than this part of all rows have it, so there are fewer hot keys than this.
+HOT_PARTS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -25,19 +29,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> None:
-    """Names a checkpoint folder if the session has none."""
+    """Names a checkpoint folder if the context has none.
+
+    It is the session's ``spark.checkpoint.dir``. Only a local session may have none and
+    gets a temporary folder; on a cluster no executor would see the others' files there.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
+    if context.getCheckpointDir() is not None:
+        return
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` as files in the shared checkpoint folder, with its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder is named.
-    """
+    """``df`` as files in the shared checkpoint folder, with its lineage cut."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -50,3 +57,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def attach(rows: DataFrame, labels: DataFrame, keys: Sequence[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``labels``, which has one row for each value of ``keys``.
+
+    ``labels`` also has ``n``, the rows that have that key, and ``total`` is the rows of
+    all keys or more. Labels of hot keys, fewer than ``HOT_PARTS`` by that count, are
+    broadcast, so their rows stay where they are; the others meet by shuffle. ``n`` is
+    not in the result. Both inputs are read more than once.
+    """
+    keys = list(keys)
+    hot = labels.where(F.col("n") * HOT_PARTS > total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = labels.where(F.col("n") * HOT_PARTS <= total).drop("n")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))

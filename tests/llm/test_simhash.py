@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import simhash as S
+from tests.llm import corpus as small
 from tallyforge.llm.components import components
 
 
@@ -72,7 +73,7 @@ def test_components_equal_brute_force(spark):
     prints = {i: S.fingerprint(S.shingles(S.words(t), 3)) for i, t in enumerate(texts)}
     expected = brute(prints, 3)
     for limit in (S.BUCKET_LIMIT, 2):
-        rows = S.near_duplicates(docs, S.Features(3), 3, bucket_limit=limit).collect()
+        rows = S.near_duplicates(docs, bucket_limit=limit).collect()
         assert {r["id"]: (int(r["fingerprint"], 16), r["component"]) for r in rows} == {i: (prints[i], expected[i]) for i in prints}
 
 
@@ -80,7 +81,7 @@ def test_hot_bucket_links_are_fewer_than_its_nodes(spark):
     rng = np.random.default_rng(0)
     centre = 0x0123456789ABCDEF
     values = {centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (600, 2))}
-    frame = spark.createDataFrame([(S.signed(v),) for v in values], "c0 bigint")
+    frame = spark.createDataFrame([(S.signed(v),) for v in values], "print bigint")
     for limit in (S.BUCKET_LIMIT, 50):
         edges = S.links(frame, 3, bucket_limit=limit)
         found = components(edges)
@@ -91,50 +92,17 @@ def test_hot_bucket_links_are_fewer_than_its_nodes(spark):
 def test_ties_nulls_and_empty_tables(spark):
     schema = "doc_id bigint, text string"
     twice = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q w e r t"), (2, None)], schema)
-    rows = sorted(((r["id"], r["component"]) for r in S.near_duplicates(twice, S.Features(3), 3).collect()), key=str)
+    rows = sorted(((r["id"], r["component"]) for r in S.near_duplicates(twice).collect()), key=str)
     assert rows == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2)], key=str)
-    assert S.near_duplicates(spark.createDataFrame([], schema), S.Features(3), 3).count() == 0
-
-
-def test_verification_by_five_words(spark):
-    rng = random.Random(5)
-    text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-    near = list(text)
-    near[100] = "x"
-    shuffled = list(text)
-    rng.shuffle(shuffled)
-    docs = spark.createDataFrame([(0, " ".join(text)), (1, " ".join(near)), (2, " ".join(shuffled))], "doc_id bigint, text string")
-    verify = S.Verify(S.Features(5, True), 23)
-    got = {r["id"]: r["component"] for r in S.near_duplicates(docs, S.Features(1, True), 5, verify).collect()}
-    assert got == {0: 0, 1: 0, 2: 2}
-
-
-def test_several_candidates_and_split_buckets(spark):
-    rng = random.Random(6)
-    texts = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(12)]
-    for t in texts[:8]:
-        t = list(t)
-        t[rng.randrange(150)] = "x"
-        texts.append(t)
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    verify = S.Verify(S.Features(5, True), 26)
-    for limit in (S.BUCKET_LIMIT, 1):
-        got = {r["id"]: r["component"] for r in S.near_duplicates(docs, S.Features(1, True), 3, verify, 4, bucket_limit=limit).collect()}
-        assert got == {i: i if i < 12 else i - 12 for i in range(20)}
-
-
-def test_verified_links_do_not_hang_on_the_bucket_limit(spark):
-    rng = random.Random(11)
-    rows = []
-    for _ in range(60):  # five bits apart, most of which still meet in some table
-        c, v = rng.getrandbits(64), rng.getrandbits(64)
-        rows += [(S.signed(x), 0, S.signed(y)) for x, y in ((c, v), (c ^ sum(1 << i for i in rng.sample(range(64), 5)), v ^ 1))]
-        near = rng.getrandbits(64)
-        rows += [(S.signed(near), 1, S.signed(v ^ (1 << 40))), (S.signed(near ^ 7), 1, S.signed(v ^ (1 << 41)))]
-    frame = spark.createDataFrame(rows, "c0 bigint, v0 bigint, v1 bigint")
-    verify = S.Verify(S.Features(5, True), 26)
-    for limit in (S.BUCKET_LIMIT, 1):
-        assert components(S.links(frame, 3, verify, 1, limit)).count() == 120
+    assert S.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_registered_query(spark, tmp_path):
+    docs = small.texts()
+    rows = S.op1_simhash(spark, small.written(spark, tmp_path, docs)).collect()
+    prints = {i: S.fingerprint(S.shingles(S.words(t), 3)) for i, t in docs.items()}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{prints[i]:016x}", c) for i, c in brute(prints, 3).items()}
+    assert len(rows) == len(docs) and prints[200] == prints[201] == prints[202] == 0
 
 
 def test_components_of_a_long_chain(spark):
