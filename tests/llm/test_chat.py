@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
 from tallyforge.llm import chat
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, place string"
@@ -42,9 +44,29 @@ def test_null_and_empty_differ_and_repeated_rows_are_one(spark):
     assert set(rendered(df.union(df))) == {1, 2, 3}
 
 
-def test_null_ids_and_turns(spark):
-    df = spark.createDataFrame([(None, 0, "user", "a", ""), (None, None, "user", "z", ""), (7, 0, "user", "z", "")], SCHEMA)
-    assert rendered(df) == {None: (text_of([("user", "z"), ("user", "a")]), 2, 1)}
+def test_rows_without_an_id_are_conversations_of_one_turn(spark):
+    rows = [(None, 0, "user", "a", ""), (None, None, "user", "z", ""), (None, 3, "user", "z", ""), (None, 3, "user", "z", "again"), (7, 0, "user", "z", ""), (8, 5, "user", "q", ""), (8, 6, "user", "r", ""), (None, 9, "user", "q", "")]
+    got = sorted(((r["conv_id"], r["n_turns"], r["n_logged"], r["text"]) for r in chat.render(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(None, 1, 1, text_of([("user", "a")])), (7, 1, 3, text_of([("user", "z")])), (8, 2, 1, text_of([("user", "q"), ("user", "r")]))], key=str)
+
+
+def test_turns_without_a_number_come_first_in_parts_by_digest(spark):
+    df = spark.createDataFrame([(1, None, "user", f"t{i}", "") for i in range(300)] + [(1, 0, "user", "last", "")], SCHEMA)
+    (text, n, logged), = rendered(df).values()
+    said = text.split("<|im_end|>\n")[:-1]
+    assert (n, logged, said[-1]) == (301, 1, "<|im_start|>user\nlast") and len(set(said)) == 301 and chat.render(df).count() > 100
+
+
+def test_registered_query_equals_its_sql(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, 0, 1, 2, 600]), rng.choice(["user", None]), rng.choice(["a", "", None]), "x") for _ in range(150)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = duck.execute(chat.OP10_SQL)
+    columns = [c[0] for c in theirs.description]
+    ours = chat.op10_chat(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(str(tuple(r)) for r in ours) == sorted(map(str, theirs.fetchall()))
 
 
 def test_long_conversations_and_empty_tables(spark):
