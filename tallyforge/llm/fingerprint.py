@@ -19,14 +19,20 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.tables import attach, durable, read
+
 #: Terms summed in one group of 16-bit lanes: 2048 * 15 is below 2 ** 15, so no sum overflows.
 TERMS_PER_GROUP = 2048
 MOST_WEIGHT = 15
 RADIUS = 3
 BLOCKS = 5
-#: Rows in a range of ids in which neighbours are looked up, and the fewest and most such ranges.
-SLICE_ROWS = 5_000
-FEWEST_SLICES, MOST_SLICES = 16, 65_536
+#: Rows in a range of ids in which keys are ordered, and the most such ranges; beyond them, ranges grow.
+SLICE_ROWS = 100_000
+MOST_SLICES = 4_096
+#: What names a text: whether its row has an id, the id, and the text's hash.
+KEY = ("named", "key_id", "key_text")
+#: Equal rows that one array gives.
+COPIES_AT_ONCE = 4_096
 
 # A multiplier that moves bits 0..3 to bits 0, 16, 32, 48, and the mask of those.
 SPREAD, LANES = 0x0000200040008001, 0x0001000100010001
@@ -70,12 +76,14 @@ def _votes(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``fingerprint`` (signed long) for each row; ids must be distinct.
+    """``id`` and ``fingerprint`` (signed long) for each row, repeated ids and rows included.
 
     A null or wordless text has fingerprint zero; equal texts have equal fingerprints.
     A text may have up to 140 million words; more raise an overflow error.
     """
-    return _votes(docs.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), ["id"], "text")
+    slim, texts = _named(docs, row_id, text)
+    voted = _votes(texts, KEY, "text")
+    return attach(slim, voted.join(slim.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), list(KEY)), KEY, slim.count()).select("id", "fingerprint")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,6 +126,44 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, b
     return asked.join(held, meets).select("query", "fingerprint", "n")
 
 
+def _named(docs: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``KEY``, ``n_chars``) of every row, and (``KEY``, ``text``) with each key once; a null text is empty.
+
+    The key is whether there is an id, the id and the text's hash, and sorts as rows do.
+    """
+    ident = F.col(f"`{row_id}`")
+    zero = F.lit(0).cast(docs.schema[row_id].dataType)
+    rows = docs.select(ident.alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("id", F.col("id").isNotNull().alias("named"), F.coalesce("id", zero).alias("key_id"), F.xxhash64("text").alias("key_text"), F.char_length("text").alias("n_chars"), "text")
+    slim = rows.select("id", *KEY, "n_chars")
+    texts = rows.select(*KEY, "text")
+    repeated = slim.groupBy(*KEY).count().where("count > 1").limit(1).count()
+    return slim, texts.dropDuplicates(list(KEY)) if repeated else texts
+
+
+def in_order(slim: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Each distinct key with ``n_chars``, ``copies`` and ``next``, the key after it; the first follows the last.
+
+    Only keys and lengths move. They are ordered within slices of ids, each followed by
+    the first key of the next slice; there are ``MOST_SLICES`` at most, and a slice's
+    order may spill.
+    """
+    keys = slim.groupBy(*KEY).agg(F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+    slices = max(1, min(MOST_SLICES, slim.count() // slice_rows))
+    starts = slim.agg(F.percentile_approx("id", [i / slices for i in range(slices)], 10 * slices)).first()[0] or []
+    starts = sorted(set(starts))
+    ids = slim.schema["key_id"].dataType
+    begins = F.array(*[F.lit(v).cast(ids) for v in starts])
+    # Keys without an id are before all others.
+    own = F.when(F.col("named"), _at_most(begins, F.col("key_id"), len(starts))).otherwise(F.lit(0)) if starts else F.lit(0)
+    keys = durable(keys.withColumn("slice", own))
+    at = F.struct(*KEY)
+    firsts = keys.groupBy("slice").agg(F.min(at).alias("first"))
+    over = Window.orderBy("slice")  # a row for each slice
+    after = firsts.select("slice", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("after"))
+    return keys.join(F.broadcast(after), "slice").select(*KEY, "n_chars", "copies", F.coalesce(F.lead(at).over(Window.partitionBy("slice").orderBy(*KEY)), F.col("after")).alias("next"))
+
+
 def _at_most(sorted_values: Column, value: Column, n: int) -> Column:
     """How many of ``n`` ascending values are at most ``value``, by halving."""
     def halve(span: Column, _: Column) -> Column:
@@ -130,65 +176,40 @@ def _at_most(sorted_values: Column, value: Column, n: int) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda span: span["low"])
 
 
-def with_next(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(id, text) with ``slice``, ``at`` (which tell rows apart), ``next_text`` and ``guest``.
-
-    Rows are ordered by id (null first) and text; the first follows the last. Slices of
-    ids begin at values that occur, so the first rows of a slice are sent to the one
-    before as guests, and each row has its successor beside it. Only guests repeat a row.
-    """
-    slices = min(MOST_SLICES, max(FEWEST_SLICES, docs.count() // slice_rows))
-    known = docs.agg(F.percentile_approx("id", [i / slices for i in range(slices)], 10 * slices).alias("at"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
-    starts = sorted(set(known["at"] or []))
-    ids = docs.schema["id"].dataType
-    begins = F.array(*[F.lit(v).cast(ids) for v in starts])
-    last = len(starts)
-    own = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_at_most(begins, F.col("id"), last)) if starts else F.lit(0)
-    first = F.col("id").isNull() if known["nulls"] else (F.col("slice") == 1) & (F.col("id") == F.get(begins, F.lit(0)))
-    opens = (F.col("slice") > 0) & (F.col("id") == F.get(begins, F.col("slice") - 1))
-    guest_in = F.when(opens & ((F.col("slice") > 1) | F.lit(bool(known["nulls"]))), F.array(F.col("slice") - 1)).otherwise(F.array().cast("array<int>"))
-    wraps = F.when(first, F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
-    home = docs.withColumn("slice", own)
-    far = F.lit(True)
-    near = F.lit(False)
-    places = F.concat(
-        F.array(F.struct(F.lit(False).alias("guest"), near.alias("wraps"), F.col("slice").alias("slice"))),
-        F.transform(guest_in, lambda s: F.struct(F.lit(True).alias("guest"), near.alias("wraps"), s.alias("slice"))),
-        F.transform(wraps, lambda s: F.struct(F.lit(True).alias("guest"), far.alias("wraps"), s.alias("slice"))),
-    )
-    placed = home.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*")
-    order = Window.partitionBy("slice").orderBy("guest", "wraps", F.col("id").asc_nulls_first(), "text")
-    return placed.withColumn("at", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-
-
 def compare_edited(docs: DataFrame, row_id: str = "doc_id", text: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its successor's.
 
     The edited text has the last quarter of the code points replaced by as many from
-    the start of the next row's text. A null text counts as empty.
-    Gives ``id``, ``n_chars``, ``edited_digest`` (SHA-256, binary), ``fingerprint``,
-    ``edited`` and ``following`` (signed longs).
+    the start of the next row's text. A null text counts as empty. Rows are ordered by
+    id (null first) and the text's hash, so of wholly equal rows all but one are followed
+    by an equal one. Gives ``id``, ``n_chars``, ``edited_digest`` (SHA-256, binary),
+    ``fingerprint``, ``edited`` and ``following`` (signed longs).
+
+    Texts move once, by key, and the starts that their predecessors ask for; the order
+    is found from keys alone.
     """
-    rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    slim, texts = _named(docs, row_id, text)
+    ordered = durable(in_order(slim, slice_rows))
+    # What a text is followed by: an equal one for all copies but one, and its successor.
+    itself, successor = F.struct(F.struct(*KEY).alias("next"), (F.col("copies") - 1).alias("times")), F.struct(F.col("next").alias("next"), F.lit(1).cast("long").alias("times"))
+    follows = F.filter(F.array(itself, successor), lambda f: f["times"] > 0)
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    asked = ordered.select(F.struct(*KEY).alias("of"), quarter(F.col("n_chars")).alias("quarter"), F.explode(follows).alias("f")).select("of", "quarter", "f.next.*", "f.times")
+    starts = texts.join(asked, list(KEY)).select("of.*", F.struct(*KEY).alias("next"), "times", F.left("text", F.col("quarter")).alias("start"))
     n = F.char_length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.left("text", n - quarter), F.left(F.coalesce("next_text", F.lit("")), quarter))
-    variants = F.when(F.col("guest"), F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
-    )
-    each = (
-        with_next(rows, slice_rows)
-        .withColumn("edited", edited)
-        .withColumn("digest", F.unhex(F.sha2("edited", 256)))
-        .select("slice", "at", "guest", "id", n.cast("long").alias("n_chars"), "digest", F.explode(variants).alias("v"))
-        .select("slice", "at", "guest", "id", "n_chars", "digest", "v.which", "v.body")
-    )
-    voted = _votes(each, ["slice", "at", "guest", "id", "n_chars", "digest", "which"], "body")
-    by_row = voted.groupBy("slice", "at", "guest", "id", "n_chars", "digest").agg(
-        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited")
-    )
-    following = F.lead("fingerprint").over(Window.partitionBy("slice").orderBy("at"))
-    return by_row.withColumn("following", following).where(~F.col("guest")).select("id", "n_chars", F.col("digest").alias("edited_digest"), "fingerprint", "edited", "following")
+    both = texts.join(starts, list(KEY)).select(*KEY, "next", "times", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - quarter(n)), F.col("start")).alias("edited"))
+    side = lambda which, body: F.struct(F.lit(which).alias("which"), body.alias("body"))
+    each = both.withColumn("edited_digest", F.unhex(F.sha2("edited", 256))).select(*KEY, "next", "times", "n_chars", "edited_digest", F.explode(F.array(side(0, F.col("text")), side(1, F.col("edited")))).alias("v"))
+    row = [*KEY, "next", "times", "n_chars", "edited_digest"]
+    voted = _votes(each.select(*row, "v.*"), [*row, "which"], "body")
+    print_of = lambda which: F.max(F.when(F.col("which") == which, F.col("fingerprint")))
+    found = durable(voted.groupBy(*row).agg(print_of(0).alias("fingerprint"), print_of(1).alias("edited")))
+    own = found.select(F.struct(*KEY).alias("next"), F.col("fingerprint").alias("following")).distinct()
+    compared = found.join(own, "next")
+    # A row for each copy; an array of a bounded length each.
+    tens = compared.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(COPIES_AT_ONCE).cast("long"))).alias("from"))
+    every = tens.select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPIES_AT_ONCE, F.col("times")) - 1)))
+    return every.select(F.when(F.col("named"), F.col("key_id")).alias("id"), "n_chars", "edited_digest", "fingerprint", "edited", "following")
 
 
 def digits(value: Column) -> Column:
@@ -202,13 +223,14 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``n_near`` counts the other documents within the radius, for every document whose
     id is divisible by 100; it is null for the rest.
     """
-    from tallyforge.llm.tables import durable, read
-
     compared = durable(compare_edited(read(spark, sf_dir, "documents")))
-    asked = compared.where(F.col("id") % 100 == 0)
+    asks = F.coalesce(F.col("id") % 100 == 0, F.lit(False))
+    asked = compared.where(asks)
     near = within_radius(asked, compared).groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    asks = F.when(F.col("id") % 100 == 0, F.col("fingerprint"))
-    return compared.withColumn("asks", asks).join(near, F.col("asks") == F.col("query"), "left").select(
+    near = durable(near.join(asked.groupBy(F.col("fingerprint").alias("query")).agg(F.count(F.lit(1)).alias("n")), "query").withColumnRenamed("query", "fingerprint"))
+    counted = attach(asked, near, ["fingerprint"], asked.count())
+    every = counted.unionByName(compared.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+    return every.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.lower(F.hex("edited_digest")).alias("edited_sha256"),

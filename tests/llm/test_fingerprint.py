@@ -9,6 +9,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from tallyforge.llm import fingerprint as P
+from tests.llm import corpus as small
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -30,9 +31,9 @@ def texts(seed):
 
 
 def test_fingerprints_equal_brute_force(spark):
-    rows = list(enumerate(texts(1))) + [(90, None), (91, ""), (92, "\t \n")]
-    got = {r["id"]: r["fingerprint"] % 2**64 for r in P.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {i: brute(t or "") for i, t in rows}
+    rows = list(enumerate(texts(1))) + [(90, None), (91, ""), (92, "\t \n"), (93, "p q"), (93, "p q"), (93, "r"), (None, "r")]
+    got = [(r["id"], r["fingerprint"] % 2**64) for r in P.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, brute(t or ""))) for i, t in rows)
 
 
 @pytest.mark.parametrize("slice_rows", [1, P.SLICE_ROWS])
@@ -53,7 +54,7 @@ def test_ties_nulls_and_empty_tables(spark):
     schema = "doc_id bigint, text string"
     rows = [(None, "b b b b"), (None, "a a a a"), (3, "c c c c"), (3, "c c c c"), (5, "d d d d")]
     got = P.compare_edited(spark.createDataFrame(rows, schema)).collect()
-    order = ["a a a a", "b b b b", "c c c c", "c c c c", "d d d d"]
+    order = [*sorted(("a a a a", "b b b b"), key=lambda t: xxh64_intdigest(t, 42) ^ 2**63), "c c c c", "c c c c", "d d d d"]
     assert sorted((r["fingerprint"] % 2**64, r["following"] % 2**64) for r in got) == sorted((brute(a), brute(b)) for a, b in zip(order, order[1:] + order[:1]))
     assert P.compare_edited(spark.createDataFrame([], schema)).count() == 0
     alone = P.compare_edited(spark.createDataFrame([(1, "x y z w")], schema)).collect()
@@ -72,3 +73,20 @@ def test_block_tables_find_all(spark, radius, blocks):
     asked = {r["fingerprint"] for r in frame.limit(25).collect()}
     want = {(a, b): signed.count(b) for a in asked for b in set(signed) if (a % 2**64 ^ b % 2**64).bit_count() <= radius}
     assert found == want
+
+
+def test_registered_query(spark, tmp_path):
+    docs = small.texts()
+    rows = {r["doc_id"]: r for r in P.op7_fingerprint(spark, small.written(spark, tmp_path, docs)).collect()}
+    order = sorted(docs)
+    prints = {i: brute(docs[i] or "") for i in order}
+    alike = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    assert rows.keys() == docs.keys()
+    for i, after in zip(order, order[1:] + order[:1]):
+        t, r = docs[i] or "", rows[i]
+        edited = t[: len(t) - len(t) // 4] + (docs[after] or "")[: len(t) // 4]
+        own = brute(edited)
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[i]:016x}", f"{own:016x}")
+        assert (r["near_edited"], r["near_next"]) == (alike(prints[i], own), alike(prints[i], prints[after]))
+        near = sum((prints[i] ^ p).bit_count() <= P.RADIUS for p in prints.values()) - 1
+        assert r["n_near"] == (near if i % 100 == 0 else None)
