@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.tables import attach, durable, read
+from tallyforge.llm.tables import attach, durable, each_copy, read
 
 #: Terms summed in one group of 16-bit lanes: 2048 * 15 is below 2 ** 15, so no sum overflows.
 TERMS_PER_GROUP = 2048
@@ -31,8 +31,6 @@ SLICE_ROWS = 100_000
 MOST_SLICES = 4_096
 #: What names a text: whether its row has an id, the id, and the text's hash.
 KEY = ("named", "key_id", "key_text")
-#: Equal rows that one array gives.
-COPIES_AT_ONCE = 4_096
 
 # A multiplier that moves bits 0..3 to bits 0, 16, 32, 48, and the mask of those.
 SPREAD, LANES = 0x0000200040008001, 0x0001000100010001
@@ -206,10 +204,7 @@ def compare_edited(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     found = durable(voted.groupBy(*row).agg(print_of(0).alias("fingerprint"), print_of(1).alias("edited")))
     own = found.select(F.struct(*KEY).alias("next"), F.col("fingerprint").alias("following")).distinct()
     compared = found.join(own, "next")
-    # A row for each copy; an array of a bounded length each.
-    tens = compared.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(COPIES_AT_ONCE).cast("long"))).alias("from"))
-    every = tens.select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPIES_AT_ONCE, F.col("times")) - 1)))
-    return every.select(F.when(F.col("named"), F.col("key_id")).alias("id"), "n_chars", "edited_digest", "fingerprint", "edited", "following")
+    return each_copy(compared, "times").select(F.when(F.col("named"), F.col("key_id")).alias("id"), "n_chars", "edited_digest", "fingerprint", "edited", "following")
 
 
 def digits(value: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BATCH_KEY, DEFAULT_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
 #: A key is hot if more than this part of all rows have it, so there are fewer hot keys than this.
 HOT_PARTS = 1000
+#: Copies of a row that one array stands for.
+COPIES_AT_ONCE = 4096
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -72,3 +74,10 @@ def attach(rows: DataFrame, labels: DataFrame, keys: Sequence[str], total: int,
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     cold = labels.where(F.col("n") * HOT_PARTS <= total).drop("n")
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
+
+
+def each_copy(rows: DataFrame, times: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, which goes; arrays are short."""
+    outer = F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(COPIES_AT_ONCE).cast("long"))
+    inner = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col(times) - F.col("_from")))
+    return rows.where(F.col(times) > 0).select("*", F.explode(outer).alias("_from")).select("*", F.explode(inner).alias("_copy")).drop("_from", "_copy", times)
