@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 GOOD, BAD, NONE = 1, 0, 2
 DIMENSIONS = 1024
-#: Texts whose hashed features and posteriors train the scorer, at most.
+#: Slots of hashed words and word pairs, and how much a text's vector of them weighs beside its shares and ratios.
+TERM_DIMENSIONS, TERM_WEIGHT = 4096, 3.0
+#: Texts whose hashed features and posteriors train the scorer, at most; the driver holds 20 kB for each.
 TRAINING_TEXTS = 4_000
 EM_ROUNDS = 200
 DESCENT_ROUNDS = 400
@@ -176,16 +178,25 @@ SLOTS = np.concatenate((_slots("first", 256), _slots("last", 256), _slots("lengt
 HALF_WORDS = 12
 
 
+def terms(t: Text) -> np.ndarray:
+    """Words (A-Z lower-cased) and pairs of neighbours, hashed into slots: damped counts of unit length."""
+    lowered = [w.lower() for w in t.words]
+    one = list(map(zlib.crc32, lowered))
+    both = np.array(one + list(map(zlib.crc32, lowered[1:], one)), np.int64) % TERM_DIMENSIONS
+    counts = np.log1p(np.bincount(both, minlength=TERM_DIMENSIONS))
+    return counts / max(1e-9, float(np.sqrt((counts**2).sum())))
+
+
 def hashed(t: Text) -> np.ndarray:
-    """The hashed feature vector of a text: shares of first and last bytes of words, word
-    lengths and byte-class pairs, and ratios, summed into ``DIMENSIONS`` slots."""
+    """The hashed feature vector of a text: shares of first and last bytes of words, word lengths
+    and byte-class pairs, and ratios, summed into ``DIMENSIONS`` slots; then its ``terms``."""
     n, classes = max(1, len(t.words)), CLASSES[t.octets].astype(np.int64)
     pairs = np.bincount(classes[:-1] * N_CLASSES + classes[1:], minlength=N_CLASSES**2) if len(classes) > 1 else np.zeros(N_CLASSES**2)
     letters = max(1, t.by_class[1] + t.by_class[2])
     ratios = [t.repeated, min(1.0, t.run / 10), t.top, t.packed, t.distinct, t.function, t.by_class[2] / letters, t.by_class[5] / max(1, len(t.octets)), min(1.0, n / 100), float(SENTENCE_ENDS[t.last].sum()) / n, 1.0]
     values = np.concatenate((np.bincount(t.first, minlength=256) / n, np.bincount(t.last, minlength=256) / n, np.bincount(np.minimum(t.lengths, 31), minlength=32) / n, pairs / max(1, len(classes)), ratios))
     assert len(values) == len(SLOTS)
-    return np.bincount(SLOTS, weights=values, minlength=DIMENSIONS)
+    return np.concatenate((np.bincount(SLOTS, weights=values, minlength=DIMENSIONS), terms(t)))
 
 
 def sureness(t: Text) -> float:
@@ -239,7 +250,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
 
 @dataclass(frozen=True)
 class Scorer:
-    """A logistic scorer over standardised hashed features."""
+    """A logistic scorer over hashed features: shares and ratios standardised, terms by one weight."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -255,6 +266,7 @@ def fit_scorer(features: np.ndarray, sure: np.ndarray, target: np.ndarray, round
     """Gradient descent on the cross-entropy with soft targets."""
     mean, scale = features.mean(axis=0), features.std(axis=0)
     scale = np.where(scale < 1e-9, np.inf, scale)
+    scale[DIMENSIONS:] = 1 / TERM_WEIGHT
     x = ((features - mean) / scale).clip(-8, 8) * sure[:, None]
     weights, bias, step = np.zeros(x.shape[1]), 0.0, 0.5 / max(1.0, float((x**2).sum(axis=1).mean()) / 4)
     for _ in range(rounds):
@@ -295,11 +307,11 @@ def _sample(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarr
     hashes = _texts(docs, text).select(F.xxhash64("text").alias("h"))
     last = hashes.distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
-        return np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + 1))
+        return np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + TERM_DIMENSIONS + 1))
     chosen = _texts(docs, text).withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).dropDuplicates(["h"])
     rows = chosen.select("text").mapInArrow(run, "pattern int, features binary").collect()  # at most ``most`` rows
     rows = sorted((r.pattern, bytes(r.features)) for r in rows)
-    return np.array([r[0] for r in rows], np.int64), np.array([np.frombuffer(r[1], np.float32) for r in rows], np.float64).reshape(len(rows), DIMENSIONS + 1)
+    return np.array([r[0] for r in rows], np.int64), np.array([np.frombuffer(r[1], np.float32) for r in rows], np.float64).reshape(len(rows), DIMENSIONS + TERM_DIMENSIONS + 1)
 
 
 @dataclass(frozen=True)
@@ -318,7 +330,11 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, text: str = "text", training_texts: int = TRAINING_TEXTS) -> QualityModel | None:
-    """A model of this corpus: label model over all texts, scorer on at most ``training_texts``. None for an empty table."""
+    """A model of this corpus: label model over all texts, scorer on at most ``training_texts``. None for an empty table.
+
+    A null text counts as an empty one, on which every labeller abstains; repeated texts
+    count as often in the label model and once in the scorer's sample.
+    """
     patterns, counts = _patterns(docs, text)
     if not len(patterns):
         return None
