@@ -25,9 +25,10 @@ STATUS = {
 class EngineError(Exception):
     """A refusal; ``code`` is stable, the message is for people and never echoes input values."""
 
-    def __init__(self, code: str, message: str):
+    def __init__(self, code: str, message: str, per_shard: list[dict] | None = None):
         super().__init__(message)
         self.code = code
+        self.per_shard = per_shard
 
     @property
     def status(self) -> int:
@@ -36,3 +37,11 @@ class EngineError(Exception):
 
 def malformed(message: str) -> EngineError:
     return EngineError("malformed", message)
+
+
+class ShardError(Exception):
+    """What a shard's source raises to say why it does not answer: an HTTP-like status, or a code."""
+
+    def __init__(self, message: str = "", status: int | None = None, code: str | None = None):
+        super().__init__(message)
+        self.status, self.code = status, code

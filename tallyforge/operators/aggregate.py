@@ -11,7 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyforge.errors import ShardError
 from tallyforge.functions.canonical import ColumnType
 from tallyforge.plans.planner import Plan
 from tallyforge.plans.request import Aggregate, Predicate
@@ -30,9 +32,7 @@ def condition(predicate: Predicate, kind: ColumnType | None) -> Column:
     """A predicate as a column; null rows satisfy ``is null`` alone."""
     column = F.col(f"`{predicate.col}`")
     if predicate.op == "is":
-        if predicate.value is None:
-            return column.isNull()
-        return F.coalesce(column.cast("boolean"), F.lit(not predicate.value)) == F.lit(predicate.value)
+        return column.isNull() if predicate.value is None else column.eqNullSafe(F.lit(predicate.value))
     lit = kind.literal if kind else F.lit
     if predicate.op == "between":
         low, high = predicate.value
@@ -59,6 +59,8 @@ def _grouped(df: DataFrame, keys: Sequence[Column], parts: Sequence[Column]) ->
 def partials(rows: DataFrame, plan: Plan, by_shard: bool = False) -> DataFrame:
     """Partial aggregates by group, and by the column ``__shard`` if asked for."""
     for predicate, kind in plan.where:
+        if predicate.op == "is" and predicate.value is not None and not isinstance(rows.schema[predicate.col].dataType, T.BooleanType):
+            raise ShardError(status=400)
         rows = rows.where(condition(predicate, kind))
     keys = [F.col(f"`{k}`").cast(t.sql).alias(f"__k{i}") for i, (k, t) in enumerate(plan.keys)]
     parts = [p for i, (a, t) in enumerate(plan.aggregates.values()) for p in _parts(i, a, t)]
@@ -81,14 +83,40 @@ def merge(partial: DataFrame, plan: Plan) -> DataFrame:
     return _grouped(partial, [F.col(f"__k{i}") for i in range(len(plan.keys))], parts)
 
 
-def truncated_shards(partial: DataFrame, most: int) -> DataFrame:
-    """Shards that gave more partial rows than ``most``; their groups may be cut, so they must not be merged."""
-    return partial.groupBy(SHARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(SHARD)
+def doubtful(plan: Plan) -> Column:
+    """Whether a partial row cannot be true: a count that is null or negative, a sum that is there without rows or missing with them."""
+    wrong = F.lit(False)
+    for i, (a, _) in enumerate(plan.aggregates.values()):
+        count, total = F.col(f"__{COUNT}{i}"), F.col(f"__{SUM}{i}")
+        if a.op in ("count", "avg"):
+            wrong = wrong | count.isNull() | (count < 0)
+        if a.op == "avg":
+            wrong = wrong | (total.isNull() != (count == 0))
+    return F.coalesce(wrong, F.lit(True))
+
+
+def adapted(given: DataFrame, plan: Plan) -> DataFrame:
+    """Named partials of a shard as this plan's; refuses a missing column or one that would lose something."""
+    fields = {f.name: f.dataType for f in given.schema}
 
+    def column(name: str, wanted: str, alias: str) -> Column:
+        if name not in fields:
+            raise ShardError(code=f"envelope_invalid: no column {name}")
+        exact = isinstance(fields[name], T.NullType | T.IntegralType | T.DecimalType) if wanted.startswith(("decimal", "bigint")) else True
+        if not exact:
+            raise ShardError(code=f"envelope_invalid: column {name} is not exact")
+        return F.col(f"`{name}`").cast(wanted).alias(alias)
 
-def without_shards(partial: DataFrame, shards: DataFrame) -> DataFrame:
-    """Partials of the other shards; the honest ones still merge."""
-    return partial.join(shards, SHARD, "left_anti")
+    part = {"sum": SUM, "min": LEAST, "max": GREATEST}
+    columns = [column(k, t.sql, f"__k{i}") for i, (k, t) in enumerate(plan.keys)]
+    for i, (name, (a, t)) in enumerate(plan.aggregates.items()):
+        if a.op == "avg":
+            columns += [column(f"{name}_sum", total_type(t), f"__{SUM}{i}"), column(f"{name}_count", "bigint", f"__{COUNT}{i}")]
+        elif a.op == "count":
+            columns.append(column(name, "bigint", f"__{COUNT}{i}"))
+        else:
+            columns.append(column(name, total_type(t) if a.op == "sum" else t.sql, f"__{part[a.op]}{i}"))
+    return given.select(*columns)
 
 
 def finish(merged: DataFrame, plan: Plan) -> DataFrame:

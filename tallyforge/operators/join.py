@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 from tallyforge.plans.request import Join
 
-#: Rows up to which a dimension is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
-
-def join_dimension(facts: DataFrame, dim: DataFrame, join: Join, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_dimension(facts: DataFrame, dim: DataFrame, join: Join) -> DataFrame:
     """Facts with a dimension row, by inner equi-join; the dimension's columns are not kept.
 
-    ``tier2`` keeps dimension rows of tier 2, before the join. The dimension is
-    broadcast only after its rows have been counted up to the bound.
+    ``tier2`` keeps dimension rows of tier 2, before the join. No side is named for a
+    broadcast: the planner broadcasts the keys if their bytes are under the session's
+    threshold, as files or once read, and else joins by shuffle.
     """
     if join.variant == "tier2":
         dim = dim.where(F.col("tier") == 2)
     keys = dim.select(F.col(f"`{join.right}`").alias("__right"))
-    small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(keys) if small else keys
-    return facts.join(side, facts[join.left] == F.col("__right"), "inner").drop("__right")
+    return facts.join(keys, facts[join.left] == F.col("__right"), "inner").drop("__right")
 
 
 def before(low: Column, high: Column) -> Column:

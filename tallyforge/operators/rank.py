@@ -8,22 +8,48 @@ from pyspark.sql import functions as F
 from tallyforge.operators.aggregate import COUNT, SUM
 from tallyforge.plans.planner import Plan
 
-#: Fractional digits of a ranked average: exact for up to 10 ** 9 rows in a group.
-DIGITS = 18
+#: Digits of a step of the long division, and its steps after the floor: 54 digits tell
+#: apart rationals of any two counts, which differ by 10 ** -38 or more.
+STEP, STEPS = 18, 3
+SPLIT = 19
 
 
-def rational_key(num: Column, den: Column) -> tuple[Column, Column]:
-    """Two columns that order ``num / den`` exactly; ``num`` is a whole number.
+def _ten(digits: int) -> Column:
+    return F.lit(str(10**digits)).cast(f"decimal({digits + 1},0)")
 
-    Rationals whose denominators are at most 10 ** 9 differ by at least 10 ** -18, so
-    the floor and 18 further digits tell them apart, where doubles would not. The floor
-    must fit a long.
-    """
-    num, den = num.cast("decimal(38,0)"), den.cast("decimal(10,0)")
+
+def _divide(num: Column, den: Column) -> tuple[Column, Column]:
+    """Whole quotient of at most 20 digits, and rest; exact, as the rest is taken off first."""
     rest = F.pmod(num, den)
-    floor = F.call_function("div", num - rest, den)
-    digits = F.call_function("div", rest.cast("decimal(10,0)") * F.lit(10**DIGITS).cast("decimal(19,0)"), den)
-    return floor, digits
+    return ((num - rest) / den).cast("decimal(20,0)"), rest.cast("decimal(19,0)")
+
+
+def rational_key(num: Column, den: Column) -> list[Column]:
+    """Columns that order ``num / den`` exactly; ``num`` is a whole number of up to 38 digits, ``den`` a long.
+
+    A long division whose every step fits a decimal: the upper and lower digits of the
+    floor, then ``STEPS`` times ``STEP`` digits after it, where doubles would be inexact.
+    """
+    num, den = num.cast("decimal(38,0)"), den.cast("decimal(19,0)")
+    # Split towards zero, where nothing overflows, then made a floor.
+    low = (num % _ten(SPLIT)).cast("decimal(20,0)")
+    high = ((num - low) / _ten(SPLIT)).cast("decimal(20,0)")
+    high, low = F.when(low < 0, high - 1).otherwise(high), F.when(low < 0, low + _ten(SPLIT)).otherwise(low)
+    quotient, rest = _divide(high, den)
+    key = [quotient]
+    for shift, added in [(SPLIT, low)] + [(STEP, F.lit(0))] * STEPS:
+        quotient, rest = _divide((rest * _ten(shift) + added).cast("decimal(38,0)"), den)
+        key.append(quotient)
+    return key
+
+
+def _whole(total: Column, scale: int) -> Column:
+    """A decimal's digits as a whole number, without a product that could overflow."""
+    if not scale:
+        return total
+    rest = total % F.lit(1).cast("decimal(1,0)")
+    scaled = (rest * _ten(scale)).cast("decimal(38,0)")
+    return ((total - rest).cast("decimal(38,0)") * _ten(scale)).cast("decimal(38,0)") + scaled
 
 
 def order(merged: DataFrame, plan: Plan) -> DataFrame:
@@ -35,9 +61,8 @@ def order(merged: DataFrame, plan: Plan) -> DataFrame:
         aggregate, kind = plan.aggregates[plan.rank.agg]
         total, count = F.col(f"__{SUM}{number}"), F.col(f"__{COUNT}{number}")
         if aggregate.op == "avg":
-            scale = kind.scale if kind.name == "numeric" else 0
-            whole = (total * F.lit(10**scale).cast("decimal(19,0)")).cast("decimal(38,0)") if scale else total
-            values = list(rational_key(whole, F.when(count > 0, count)))
+            whole = _whole(total, kind.scale if kind.name == "numeric" else 0)
+            values = rational_key(whole, F.when(count > 0, count))
         else:
             values = [total if aggregate.op == "sum" else count]
         values = [v.desc_nulls_last() if plan.rank.direction == "desc" else v.asc_nulls_last() for v in values]

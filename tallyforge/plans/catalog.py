@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.join import overlapping
+from tallyforge.plans.planner import DirectoryRow
 
 # How long a health stamp counts, and the fill at which a shard rolls off.
 FRESH_SECONDS = 90
@@ -61,12 +62,13 @@ def span_overlaps(placements: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.table_id").alias("table_id"), F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
-def version_steps(before: Mapping[str, Mapping], after: Mapping[str, Mapping]) -> int:
-    """How far the directory version moves from one set of placements (by id) to the next.
+def version_steps(before: Mapping[str, Mapping], after: Mapping[str, Mapping], columns: tuple[str, ...] = ROUTING_COLUMNS) -> int:
+    """How far the directory version moves from one set of rows (by id) to the next.
 
-    One for each placement that comes, goes or changes a routing column.
+    One for each that comes, goes or changes one of the columns: of placements those that
+    route, of cold objects their state.
     """
-    moved = sum(any(before[k].get(c) != after[k].get(c) for c in ROUTING_COLUMNS) for k in before.keys() & after.keys())
+    moved = sum(any(before[k].get(c) != after[k].get(c) for c in columns) for k in before.keys() & after.keys())
     return moved + len(before.keys() ^ after.keys())
 
 
@@ -81,3 +83,19 @@ def read_directory(view: DataFrame, table: str) -> list[dict]:
     if len(rows) > MAX_DIRECTORY_ROWS:
         raise ValueError("the directory has too many rows for one table")
     return [r.asDict() for r in rows]
+
+
+#: Columns of a directory row that a planner reads.
+PLANNED = ("shard", "key_min", "key_max", "hash_slot", "state", "schema_version", "row_estimate", "is_reference", "platform_status", "last_health_at")
+
+
+def directory_rows(rows: Sequence[Mapping], table: str) -> list[DirectoryRow]:
+    """A table's placements among the directory's rows, which must say whose they are."""
+    if rows and not any(isinstance(r.get("logical_name"), str) for r in rows):
+        raise ValueError("the directory's rows name no table")
+    return [DirectoryRow(**{c: r[c] for c in PLANNED if c in r}) for r in rows if r.get("logical_name") == table]
+
+
+def plain(rows: Sequence[Mapping]) -> list[dict]:
+    """Rows as JSON can say them."""
+    return [{k: v.isoformat() if isinstance(v, datetime) else v for k, v in r.items()} for r in rows]

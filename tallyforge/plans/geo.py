@@ -30,7 +30,27 @@ class Route:
 
     @property
     def warning(self) -> dict | None:
-        return {"shard": self.target or "*", "code": "geo_fallback_primary", "est_rows": 0, "detail": self.detail} if self.detail else None
+        return {"shard": self.target or "geo_replica", "code": "geo_fallback_primary", "est_rows": 0, "retried": False, "detail": self.detail} if self.detail else None
+
+
+@dataclass(frozen=True)
+class Planes:
+    """Where reads may go besides the placements.
+
+    ``mode`` and ``replicas`` are read for requests that ask for the replica;
+    ``override`` names the project that serves as primary, and ``own`` this one.
+    """
+
+    mode: Callable[[], str | None] | None = None
+    replicas: Callable[[], Sequence[Replica]] | None = None
+    override: Any = None
+    own: str = ""
+
+    def route(self, wants_replica: bool, table: str, is_reference: bool | None, templated: bool, min_lsn: str | None) -> Route:
+        """The plane of one request; there is never more than one."""
+        if wants_replica:
+            return replica_route(self.mode() if self.mode else None, self.replicas, table, is_reference, templated, min_lsn)
+        return dispatch(self.override, self.own)
 
 
 def is_write(raw: Any) -> bool:

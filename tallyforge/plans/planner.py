@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -12,6 +13,10 @@ from tallyforge.functions.canonical import ColumnType
 from tallyforge.plans.request import RANKED, Aggregate, Join, Predicate, Rank, Request
 
 
+#: States of a placement that serves.
+LIVE = ("serving", "draining")
+
+
 @dataclass(frozen=True)
 class DirectoryRow:
     """One placement that may serve a table."""
@@ -135,23 +140,7 @@ class Template:
     max_rows: int = 1000
     schema_version: int = 1
     state: str = "active"
-
-
-def _dim(variant: str | None) -> Join:
-    return Join("wh_probe_dim", "region", "region", variant)
-
-
-# The shipped templates and the aggregates that each can merge.
-TEMPLATES = (
-    Template("W1", "wh_probe_agg", "rows", frozenset({"sum", "count"})),
-    Template("W2", "wh_probe_agg", "scalar", frozenset({"min", "max", "count_col"})),
-    Template("W3", "wh_probe_agg", "scalar", frozenset({"avg_pair"})),
-    Template("W4", "wh_probe_agg", "rows", frozenset({"topk"})),
-    Template("W5", "facts_blocks", "scalar", frozenset({"sum", "count_col"})),
-    Template("W6", "wh_probe_agg", "rows", frozenset({"sum", "count", "count_col"}), _dim(None)),
-    Template("W7", "wh_probe_agg", "rows", frozenset({"sum", "count", "count_col"}), _dim("tier2")),
-    Template("W8", "wh_probe_agg", "rows", frozenset({"avg_pair", "count", "count_col"}), _dim("tier2")),
-)
+    digest: str = ""
 
 
 def plan_ops(plan: Plan) -> frozenset[str]:
@@ -159,7 +148,7 @@ def plan_ops(plan: Plan) -> frozenset[str]:
     return frozenset({"avg": "avg_pair", "count": "count" if a.col is None else "count_col"}.get(a.op, a.op) for a, _ in plan.aggregates.values())
 
 
-def derive_templates(plan: Plan, schema_version: int | None = None, templates: Sequence[Template] = TEMPLATES) -> list[Template]:
+def derive_templates(plan: Plan, templates: Sequence[Template], schema_version: int | None = None) -> list[Template]:
     """Templates of the plan's table, kind, join class and variant that merge all it needs."""
     kind, needed = "rows" if plan.grouped else "scalar", plan_ops(plan)
     return [
@@ -170,19 +159,70 @@ def derive_templates(plan: Plan, schema_version: int | None = None, templates: S
     ]
 
 
-def check_join(plan: Plan, templates: Sequence[Template], shards: Sequence[DirectoryRow], dims: Sequence[DirectoryRow], all_dims: Sequence[DirectoryRow] | None = None) -> None:
-    """The join gates in their order: template class, dimension, keys, co-location."""
+def check_handshake(needed: Sequence[Template], held: Sequence[Template], schema_version: int, limit: int | None) -> str | None:
+    """Why a shard whose inventory is ``held`` cannot run the needed templates; None if it can."""
+    by_digest = {t.digest: t for t in held}
+    for template in needed:
+        own = by_digest.get(template.digest)
+        if own is None or own.state not in ("active", "frozen"):
+            return "template_missing"
+        if own.schema_version != schema_version:
+            return "schema_mismatch"
+        if limit is not None and own.max_rows < limit:
+            return "max_rows_exceeded"
+    return None
+
+
+def sampled(qid: str) -> bool:
+    """Whether a request is one of the sixteenth for which shards' inventories are read."""
+    return hashlib.sha256(qid.encode()).digest()[0] & 15 == 7
+
+
+def check_join(plan: Plan, derived: Sequence[Template], templates: Sequence[Template], shards: Sequence[DirectoryRow], dims: Sequence[DirectoryRow] | None) -> None:
+    """The join gates in their order: template class, dimension, keys, co-location.
+
+    Where no template derives, the dimension and keys must be those of some join template
+    of the table, if it has any: a join that no template knows is refused, not guessed.
+    """
     join = plan.join
     if join is None:
         return
-    if templates:
-        bound = templates[0].join
-        if bound is None or bound.table != join.table:
+    if derived and derived[0].join is None:
+        raise EngineError("join_template_required", "the template does not join")
+    bound = [t.join for t in derived[:1]] or [t.join for t in templates if t.table == plan.table and t.join]
+    if bound:
+        bound = [b for b in bound if b.table == join.table]
+        if not bound:
             raise EngineError("join_template_required", "no template joins that dimension")
-        if (bound.left, bound.right) != (join.left, join.right):
+        if all((b.left, b.right) != (join.left, join.right) for b in bound):
             raise EngineError("join_key_mismatch", "the template joins on other columns")
-    if not dims or not all(d.is_reference for d in (all_dims or dims)):
+    if not dims or not all(d.is_reference is True for d in dims):
         raise EngineError("join_not_colocated", "the dimension is not a reference table")
     for shard in shards:
-        if sum(d.shard == shard.shard and d.state in ("serving", "draining") for d in dims) != 1:
+        if sum(d.shard == shard.shard and d.state in LIVE for d in dims) != 1:
             raise EngineError("join_not_colocated", "a shard has no single copy of the dimension")
+
+
+def estimate(row: DirectoryRow) -> int | None:
+    """A placement's row estimate, if it has one; zero is none."""
+    return row.row_estimate if type(row.row_estimate) is int and row.row_estimate > 0 else None
+
+
+def covers_whole_spans(rows: Sequence[DirectoryRow], where: Sequence[Predicate], key: ShardKey) -> bool:
+    """Whether the predicates keep all rows of these placements: none, or ranges of the shard key round their spans."""
+    if not where:
+        return True
+    if key.kind not in ("range", "time") or key.type is None or any(p.col != key.column or p.op in ("eq", "neq", "is") for p in where):
+        return False
+    try:
+        for row in rows:
+            begin, end = key.type.parse(row.key_min), key.type.parse(row.key_max)
+            for p in where:
+                low, high = (key.type.parse(v) for v in (p.value if p.op == "between" else (p.value, p.value)))
+                below = p.op in ("gt", "gte", "between") and (begin is None or low is None or begin < low or p.op == "gt" and begin == low)
+                above = p.op in ("lt", "lte", "between") and (end is None or high is None or end > high)  # ends are excluded
+                if below or above:
+                    return False
+    except EngineError:
+        return False
+    return True

@@ -7,10 +7,12 @@ and ``min_shards`` (null is refused). Messages name the clause and never its val
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
 from tallyforge.errors import malformed
+from tallyforge.functions.canonical import ColumnType
 from tallyforge.functions.lsn import parse_lsn
 
 IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
@@ -66,6 +68,7 @@ class Request:
     read_plane: str | None = None
     min_lsn: str | None = None
     snapshot: str | None = None
+    types: Mapping[str, ColumnType] = field(default_factory=dict)
     raw: dict = field(default_factory=dict, compare=False, repr=False)
 
 
@@ -163,6 +166,17 @@ def _limit(query: dict) -> int | None:
     return None
 
 
+def _types(raw: dict) -> dict[str, ColumnType]:
+    """Column types that the request declares: ``column_types`` with ``column_scales``."""
+    kinds, scales = (raw.get(k) or {} for k in ("column_types", "column_scales"))
+    for value, what in ((kinds, "column_types"), (scales, "column_scales")):
+        if not isinstance(value, dict):
+            raise malformed(f"{what} must be an object")
+        for column in value:
+            _identifier(column, f"{what} key")
+    return {c: ColumnType(k, scales.get(c, 0) if k == "numeric" else 0) for c, k in kinds.items()}
+
+
 def parse_request(raw: Any) -> Request:
     """A checked request, or an ``EngineError`` of code malformed."""
     if not isinstance(raw, dict):
@@ -203,5 +217,5 @@ def parse_request(raw: Any) -> Request:
     rank = _rank(query["rank_by"]) if query.get("rank_by") is not None else None
     return Request(
         raw["qid"], table, aggregates, predicates, keys, join, limit, rank, query.get("min_shards"),
-        raw.get("coverage_mode") or "best_effort", plane, floor, raw.get("directory_snapshot"), raw,
+        raw.get("coverage_mode") or "best_effort", plane, floor, raw.get("directory_snapshot"), _types(raw), raw,
     )

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.canonical import ColumnType
 from tallyforge.operators.aggregate import SHARD
-from tallyforge.operators.join import before
+from tallyforge.operators.join import overlapping
 from tallyforge.operators.rank import top_rows
-from tallyforge.plans import catalog
-from tallyforge.plans.executor import Answer, Table, execute
+from tallyforge.plans import catalog, templates
+from tallyforge.plans.executor import Answer, Partials, Table, collect_groups, execute
 from tallyforge.plans.planner import DirectoryRow, ShardKey
 from tallyforge.sources import cold
+from tallyforge.sources.loader import Ledger, LoadTable, Partition
 
 INT8, TEXT, TIME, MONEY = ColumnType("int8"), ColumnType("text"), ColumnType("timestamptz"), ColumnType("numeric", 2)
 TYPES = {"id": INT8, "region": TEXT, "amount": MONEY, "sparse": MONEY, "qty": INT8, "flag": TEXT, "line": INT8, "discount": MONEY, "shipped": TIME, "returned": TEXT}
@@ -48,6 +49,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity as bigint) as qty", "l_linestatus as flag", "cast(l_linenumber as bigint) as line",
         f"{_money('l_discount')} as discount", "cast(l_shipdate as timestamp) as shipped",
         "case l_returnflag when 'R' then null when 'A' then '' else 'null' end as returned",
+        "case when l_returnflag = 'A' then null else l_linestatus = 'F' end as filled",
     )
 
 
@@ -56,7 +58,8 @@ FACTS_SQL = """fact AS (
     CASE WHEN (l_orderkey * 10 + l_linenumber) % 97 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS sparse,
     CAST(l_quantity AS BIGINT) AS qty, l_linestatus AS flag, CAST(l_linenumber AS BIGINT) AS line,
     CAST(l_discount AS DECIMAL(18,2)) AS discount, CAST(l_shipdate AS TIMESTAMP) AS shipped,
-    CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN '' ELSE 'null' END AS returned
+    CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN '' ELSE 'null' END AS returned,
+    CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linestatus = 'F' END AS filled
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 DIM_SQL = f"dim AS (SELECT n_name AS region, n_nationkey % 3 + 1 AS tier FROM nation WHERE n_nationkey <> {LEFT_OUT})"
 
@@ -77,7 +80,16 @@ def request(select: list[tuple], table: str = "wh_probe_agg", **query) -> dict:
 
 
 def answer(spark: SparkSession, sf_dir: str, select: list[tuple], **query) -> Answer:
-    return execute(request(select, **query), _tables(spark, sf_dir))
+    return execute(request(select, **query), _tables(spark, sf_dir), lazy=True)
+
+
+def settled(spark: SparkSession, answer: Answer) -> DataFrame:
+    """The groups of an answer whose limits hold, at most as many as a response may have, without what was kept for them."""
+    schema = answer.rows.schema
+    try:
+        return spark.createDataFrame(collect_groups(answer), schema)
+    finally:
+        answer.close()
 
 
 _SQL_AGG = {
@@ -147,6 +159,8 @@ _predicate("filter_lt", [_p("qty", "lt", "10")], "qty < 10", **BY_REGION)
 _predicate("filter_lte", [_p("discount", "lte", 0.05)], "discount <= 0.05", **BY_REGION)
 _predicate("filter_between", [_p("shipped", "between", ["1995-01-01", "1996-06-30T12:00:00Z"])], "shipped BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30 12:00:00'", **BY_REGION)
 _predicate("filter_is_null", [_p("returned", "is", None)], "returned IS NULL", **BY_REGION)
+_predicate("filter_is_true", [_p("filled", "is", True)], "filled IS TRUE", **BY_REGION)
+_predicate("filter_is_false", [_p("filled", "is", False)], "filled IS FALSE", **BY_REGION)
 _predicate("filter_conjunction", [_p("qty", "gt", 10), _p("region", "neq", "CHINA"), _p("shipped", "lt", "1997-01-01"), _p("amount", "between", [1000, 40000])], "qty > 10 AND region <> 'CHINA' AND shipped < TIMESTAMP '1997-01-01' AND amount BETWEEN 1000 AND 40000", **BY_REGION)
 
 # Group keys and aggregates.
@@ -185,7 +199,7 @@ def _rank_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = {"wh_probe_agg": Table("wh_probe_agg", {}, TYPES, frame, ONE)}
     parts = []
     for direction in ("asc", "desc"):
-        rows = execute(request([("sum", "sparse", "x")], groupBy=["line"], rank_by={"agg": "x", "direction": direction}, limit=6), table).rows
+        rows = execute(request([("sum", "sparse", "x")], groupBy=["line"], rank_by={"agg": "x", "direction": direction}, limit=6), table, lazy=True).rows
         parts.append(rows.select(F.lit(direction).alias("direction"), "line", "x"))
     return parts[0].unionByName(parts[1])
 
@@ -236,10 +250,9 @@ def _by_range(spark: SparkSession, sf_dir: str) -> Table:
     return Table("orders", {}, ORDER_TYPES, _orders(spark, sf_dir).withColumn(SHARD, cut), [DirectoryRow(*c) for c in cuts], ShardKey("range", "id", INT8))
 
 
-def _sharded(name: str, table: Callable[[SparkSession, str], Table], where: list[dict], sql: str, per_shard: bool = False) -> None:
+def _sharded(name: str, table: Callable[[SparkSession, str], Table], where: list[dict], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ask = request(SUM_COUNT, table="orders", where=where, groupBy=["priority"])
-        return execute(ask, {"orders": table(spark, sf_dir)}, per_shard=per_shard).rows
+        return settled(spark, execute(request(SUM_COUNT, table="orders", where=where, groupBy=["priority"]), {"orders": table(spark, sf_dir)}))
 
     _queries[name] = run
     _oracles[name] = f"WITH {ORDERS_SQL} SELECT priority, {_aggregates(SUM_COUNT)} FROM o WHERE {sql} GROUP BY priority"
@@ -248,20 +261,52 @@ def _sharded(name: str, table: Callable[[SparkSession, str], Table], where: list
 _sharded("prune_range_shards", _by_range, [_p("id", "between", [100, 6000])], "id BETWEEN 100 AND 6000")
 _sharded("prune_time_shards", _by_time, [_p("day", "gte", "1996-03-01"), _p("day", "lt", "1997-01-01")], "day >= TIMESTAMP '1996-03-01' AND day < TIMESTAMP '1997-01-01'")
 _sharded("prune_hash_shards", _by_slot, [_p("id", "eq", 65)], "id = 65")
-_sharded("two_level_merge", _by_time, [], "true", per_shard=True)
+_sharded("two_level_merge", _by_time, [], "true")
 _sharded("coverage_excluded_shard", lambda s, d: _by_time(s, d, (1, 2, 1)), [], "day < TIMESTAMP '1994-01-01' OR day >= TIMESTAMP '1996-01-01'")
 
 
+def _delisted(spark: SparkSession, sf_dir: str) -> Table:
+    """The frame still holds the rows of a shard that the directory no longer lists."""
+    table = _by_time(spark, sf_dir)
+    return Table("orders", {}, ORDER_TYPES, table.frame, table.directory[:2], table.key)
+
+
+_sharded("delisted_shard", _delisted, [], "day < TIMESTAMP '1996-01-01'")
+
+
 def _partial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial rows that each shard gives."""
-    ask = request(SUM_COUNT, table="orders", groupBy=["priority"])
-    return execute(ask, {"orders": _by_time(spark, sf_dir)}, per_shard=True).per_shard.withColumnRenamed(SHARD, "shard")
+    answer = execute(request(SUM_COUNT, table="orders", groupBy=["priority"]), {"orders": _by_time(spark, sf_dir)})
+    answer.close()
+    return spark.createDataFrame([(e["shard"], e["partial_rows"]) for e in answer.per_shard], "shard string, partial_rows bigint")
 
 
 _queries["per_shard_partials"] = _partial_rows
-_oracles["per_shard_partials"] = f"""WITH {ORDERS_SQL} SELECT CASE WHEN day < TIMESTAMP '1994-01-01' THEN 'S1' WHEN day < TIMESTAMP '1996-01-01' THEN 'S2' ELSE 'S3' END AS shard,
-  count(DISTINCT coalesce(priority, '-')) AS partial_rows FROM o GROUP BY 1"""
+_oracles["per_shard_partials"] = f"""WITH {ORDERS_SQL}, s AS (SELECT CASE WHEN day < TIMESTAMP '1994-01-01' THEN 'S1' WHEN day < TIMESTAMP '1996-01-01' THEN 'S2' ELSE 'S3' END AS shard, priority FROM o)
+SELECT shard, count(DISTINCT s.priority) AS partial_rows FROM (VALUES ('S1'), ('S2'), ('S3')) v(shard) LEFT JOIN s USING (shard) GROUP BY shard"""
+
+
+# Averages of more rows than any table here has: two shards give partials of them.
+_HUGE = ["('a', 30000000000000000000000000001, 60000000000000000)", "('b', 10000000000000000000000000000, 20000000000000001)", "('c', 10000000000000000000000000000, 20000000000000000)",
+         "('d', -7, 9000000000000000000)", "('e', -8, 9000000000000000000)", "('f', NULL, 0)", "('g', 499999999999, 999999999999)", "('h', 1, 2)"]
+
 
+def _rank_huge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.sql(f"SELECT g, cast(s AS decimal(38,0)) AS m_sum, cast(c AS bigint) AS m_count FROM VALUES {', '.join(_HUGE)} AS x(g, s, c)")
+    table = Table("t", {"A": Partials(given.where("g < 'd'")), "B": Partials(given.where("g >= 'd'"))}, {"g": TEXT, "x": INT8}, None, (DirectoryRow("A"), DirectoryRow("B")))
+    answer = execute(request([("avg", "x", "m")], "t", groupBy=["g"], rank_by={"agg": "m"}), {"t": table})
+    try:
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(collect_groups(answer))], "place bigint, g string, m_num decimal(38,0), m_den bigint")
+    finally:
+        answer.close()
+
+
+_queries["rank_avg_huge"] = _rank_huge
+_oracles["rank_avg_huge"] = f"""WITH x(g, s, c) AS (SELECT g, s::HUGEINT, c::HUGEINT FROM (VALUES {', '.join(_HUGE)}) v(g, s, c)),
+d AS (SELECT *, nullif(c, 0) AS den, ((s % c) + c) % c AS r0 FROM x),
+e AS (SELECT *, (s - r0) // den AS q, r0 * 1000000000000000000 // den AS d1, r0 * 1000000000000000000 % den AS r1 FROM d),
+f AS (SELECT *, r1 * 1000000000000000000 // den AS d2, r1 * 1000000000000000000 % den AS r2 FROM e)
+SELECT row_number() OVER (ORDER BY q DESC NULLS LAST, d1 DESC NULLS LAST, d2 DESC NULLS LAST, r2 * 1000000000000000000 // den DESC NULLS LAST, g) - 1 AS place, g, CAST(s AS DECIMAL(38,0)) AS m_num, CAST(den AS BIGINT) AS m_den FROM f"""
 
 # Cold tier.
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +339,67 @@ _oracles["unpack_roundtrip"] = "SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H
 _queries["blocks_checksum"] = lambda spark, sf_dir: cold.blocks_checksum(cold.pack(events(spark, sf_dir))).select(F.col("day").cast("string").alias("day"), "checksum")
 _oracles["blocks_checksum"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, md5(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS checksum FROM events GROUP BY CAST(ts AS DATE)"
 
+
+def _cold_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cold template between two days."""
+    source = events(spark, sf_dir)
+    first = source.agg(F.min(F.to_date("ts")).alias("d")).first()["d"].toordinal()
+    days = {k: str(datetime.fromordinal(first + n).date()) for k, n in (("day_from", 3), ("day_to", 9))}
+    return templates.call("W5", {"blocks": cold.pack(source)}, {"dataset": cold.DATASET, **days}).rows
+
+
+_queries["w5_cold_days"] = _cold_days
+_oracles["w5_cold_days"] = """WITH f AS (SELECT min(CAST(ts AS DATE)) AS d FROM events)
+SELECT CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS x, count(value) AS c FROM events, f WHERE CAST(ts AS DATE) >= d + 3 AND CAST(ts AS DATE) < d + 9"""
+
+
+def _pack_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of events some of which have no id or no time; none may vanish."""
+    holes = events(spark, sf_dir).withColumn("ts", F.when(F.col("id") % 11 != 0, F.col("ts"))).withColumn("id", F.when(F.col("id") % 7 != 0, F.col("id")))
+    packed = cold.pack(holes).groupBy("day").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("blocks"), F.sum(F.size(F.filter("id", lambda i: i.isNull()))).alias("without_id"))
+    return packed.select(F.col("day").cast("string").alias("day"), "n_rows", "blocks", "without_id")
+
+
+_queries["pack_nulls"] = _pack_nulls
+_oracles["pack_nulls"] = f"""SELECT CAST(d AS VARCHAR) AS day, count(*) AS n_rows, CAST((count(*) + {cold.BLOCK_ROWS - 1}) // {cold.BLOCK_ROWS} AS BIGINT) AS blocks, CAST(count(*) FILTER (event_id % 7 = 0) AS BIGINT) AS without_id
+FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(ts AS DATE) END AS d FROM events) GROUP BY d"""
+
+
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays after the first day was packed without the events that came later."""
+    source = events(spark, sf_dir)
+    day = str(source.agg(F.min(F.to_date("ts")).alias("d")).first()["d"])
+    packed = cold.pack(source.where((F.to_date("ts") == F.lit(day).cast("date")) & (F.col("id") % 5 != 0)))
+    left = cold.remaining(source, packed, day)
+    return left.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+_queries["rolloff_late_rows"] = _late_rows
+_oracles["rolloff_late_rows"] = """WITH f AS (SELECT min(CAST(ts AS DATE)) AS d FROM events)
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, min(event_id) AS first_id FROM events, f WHERE CAST(ts AS DATE) <> d OR event_id % 5 = 0 GROUP BY 1"""
+
+# Templates, called by name with their parameters.
+
+
+def _template(name: str, sql: str, **params) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = facts(spark, sf_dir).select("id", "region", F.col("sparse").alias("amount"))
+        return templates.call(name, {"fact": fact, "dim": dimension(spark, sf_dir)}, params).rows
+
+    _queries[f"template_{name.lower()}"] = run
+    _oracles[f"template_{name.lower()}"] = f"WITH {WITH_DIM} SELECT {sql}"
+
+
+_SUM = "CAST(sum(fact.sparse) AS DECIMAL(38,2))"
+_ID_SPAN = "FROM fact WHERE id >= 2000 AND id < 40000"
+_template("W1", f"fact.region, {_SUM} AS x, count(*) AS c {_ID_SPAN} GROUP BY fact.region ORDER BY fact.region LIMIT 9", id_min=2000, id_max=40000, limit=9)
+_template("W2", f"min(sparse) AS lo, max(sparse) AS hi, count(sparse) AS c {_ID_SPAN}", id_min=2000, id_max=40000)
+_template("W3", f"{_SUM} AS s, count(sparse) AS c FROM fact WHERE id < 40000", id_max=40000)
+_template("W4", "id, region, sparse AS amount FROM fact ORDER BY sparse DESC NULLS LAST, id LIMIT 12", limit=12)
+_template("W6", f"fact.region, {_SUM} AS x, count(fact.sparse) AS c, count(*) AS n FROM {JOIN_SQL} GROUP BY fact.region ORDER BY 1 LIMIT 20", limit=20)
+_template("W7", f"fact.region, {_SUM} AS x, count(fact.sparse) AS c, count(*) AS n FROM {TIER2_SQL} GROUP BY fact.region")
+_template("W8", f"fact.region, {_SUM} AS s, count(fact.sparse) AS c, count(*) AS n FROM {TIER2_SQL} GROUP BY fact.region")
+
 # Catalogue, over the same small tables in both engines.
 NOW = datetime(2026, 3, 1, 12, 0, 0, tzinfo=timezone.utc)
 _T = "VALUES (1, 'orders', 'time', false, 3), (2, 'dims', 'none', true, 1), (3, 'hits', 'range', false, 2)"
@@ -330,8 +436,19 @@ _queries["span_overlap"] = lambda spark, sf_dir: catalog.span_overlaps(_catalog(
 _oracles["span_overlap"] = f"""WITH {CATALOG_SQL}, live AS (SELECT * FROM p WHERE state IN ('serving', 'draining'))
 SELECT a.table_id, a.id AS first, b.id AS second FROM live a JOIN live b ON a.table_id = b.table_id AND a.id < b.id
   AND (a.key_min IS NULL OR b.key_max IS NULL OR a.key_min < b.key_max) AND (b.key_min IS NULL OR a.key_max IS NULL OR b.key_min < a.key_max)"""
-_queries["catalog_invariants"] = lambda spark, sf_dir: catalog.broken_invariants(*_catalog(spark)[:2])
-_oracles["catalog_invariants"] = f"""WITH {CATALOG_SQL}, live AS (SELECT p.*, t.is_reference FROM p JOIN t ON p.table_id = t.id WHERE state IN ('serving', 'draining'))
+_BROKEN = """(21, 1, 108, '1992', '1994', 'draining', 3, 5, 5, '2026-03-01 11:59:59'), (22, 2, 101, NULL, NULL, 'draining', 1, 5, 5, '2026-03-01 11:59:59'),
+  (23, 3, 108, NULL, '0', 'serving', 2, 5, 5, '2026-03-01 11:59:59'), (24, 3, 109, NULL, '0', 'serving', 2, 5, 5, '2026-03-01 11:59:59'), (25, 3, 109, NULL, '0', 'retired', 2, 5, 5, '2026-03-01 11:59:59')"""
+
+
+def _invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span served twice, one without a lower bound too, and a project with two copies of a reference."""
+    tables, placements, _ = _catalog(spark)
+    more = spark.sql(f"SELECT * FROM VALUES {_BROKEN} AS x({_P_COLS})").withColumn("last_health_at", F.col("last_health_at").cast("timestamp")).withColumn("hash_slot", F.lit(None).cast("int"))
+    return catalog.broken_invariants(tables, placements.unionByName(more))
+
+
+_queries["catalog_invariants"] = _invariants
+_oracles["catalog_invariants"] = f"""WITH t({_T_COLS}) AS ({_T}), p({_P_COLS}) AS ({_P}, {_BROKEN}), live AS (SELECT p.*, t.is_reference FROM p JOIN t ON p.table_id = t.id WHERE state IN ('serving', 'draining'))
 SELECT table_id, 'span' AS kind, count(*) AS n FROM live WHERE NOT is_reference GROUP BY table_id, key_min, key_max HAVING count(*) > 1
 UNION ALL SELECT table_id, 'reference', count(*) FROM live WHERE is_reference GROUP BY table_id, project_id HAVING count(*) > 1"""
 _DAYS = "VALUES (1, '2026-01-01', '2026-01-02'), (2, '2026-01-02', '2026-01-04'), (3, '2026-01-03', '2026-01-05'), (4, '2026-01-05', '2026-01-06'), (5, '2025-12-31', '2026-01-06')"
@@ -339,9 +456,7 @@ _DAYS = "VALUES (1, '2026-01-01', '2026-01-02'), (2, '2026-01-02', '2026-01-04')
 
 def _day_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = spark.sql(f"SELECT id, CAST(lo AS DATE) AS lo, CAST(hi AS DATE) AS hi FROM {_DAYS} AS x(id, lo, hi)")
-    a, b = days.alias("a"), days.alias("b")
-    meets = before(F.col("a.lo"), F.col("b.hi")) & before(F.col("b.lo"), F.col("a.hi")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, meets).select(F.col("a.id").alias("first"), F.col("b.id").alias("second"))
+    return overlapping(days, days, "lo", "hi", F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
 _queries["daterange_overlap"] = _day_overlaps
@@ -350,9 +465,12 @@ _LEDGER = "VALUES (1, 'p1', 'pending', NULL), (1, 'p2', 'loading', '2026-03-01 1
 
 
 def _resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = spark.sql(f"SELECT job, partition_id, state, CAST(lease_until AS TIMESTAMP) AS lease_until FROM {_LEDGER} AS x(job, partition_id, state, lease_until)")
-    free = (F.col("state") == "pending") | ((F.col("state") == "loading") & (F.col("lease_until") < _now()))
-    return ledger.where(free).select("job", "partition_id", "state")
+    """The partitions that a loader may take up, as the ledger gives them."""
+    rows = spark.sql(f"SELECT CAST(job AS string) AS job, partition_id, state, CAST(lease_until AS TIMESTAMP) AS lease_until FROM {_LEDGER} AS x(job, partition_id, state, lease_until)").collect()
+    at = lambda t: t and t.replace(tzinfo=timezone.utc)
+    book = Ledger({"t": LoadTable("t", 1)}, {}, partitions={(r.job, "p", r.partition_id): Partition("p", r.partition_id, r.state, at(r.lease_until)) for r in rows})
+    free = [(int(job), p.partition_id, p.state) for job in sorted({r.job for r in rows}) for p in book.resumable(job, NOW)]
+    return spark.createDataFrame(free, "job int, partition_id string, state string")
 
 
 _queries["loader_resume_set"] = _resumable

@@ -10,6 +10,7 @@ from tallyforge.errors import EngineError
 from tallyforge.functions.canonical import ColumnType, render_timestamp
 from tallyforge.plans.planner import build_plan, derive_templates
 from tallyforge.plans.request import parse_request
+from tallyforge.plans.templates import manifest
 
 TYPES = {"region": ColumnType("text"), "amount": ColumnType("numeric"), "qty": ColumnType("int8"), "price": ColumnType("numeric", 2), "created_at": ColumnType("timestamptz")}
 SELECT = [{"op": "sum", "col": "amount", "alias": "s"}, {"op": "count", "alias": "c"}]
@@ -90,7 +91,7 @@ def test_times_have_one_form(value):
 
 def named(select, **query):
     raw = {"v": 1, "qid": "q", "table": "wh_probe_agg", "query": {"select": select, **query}}
-    return [t.name for t in derive_templates(build_plan(parse_request(raw), TYPES))]
+    return [t.name for t in derive_templates(build_plan(parse_request(raw), TYPES), manifest())]
 
 
 def test_templates_follow_from_the_plan():

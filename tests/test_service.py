@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.errors import EngineError
 from tallyforge.functions.canonical import ColumnType
-from tallyforge.operators.aggregate import SHARD, truncated_shards, without_shards
 from tallyforge.operators.order import ordered
 from tallyforge.plans import templates
 from tallyforge.plans.executor import Table, execute
@@ -49,11 +48,6 @@ def test_pinned_templates(frames):
             templates.call(name, frames, digest=pin)
 
 
-def test_truncated_shards_do_not_merge(spark):
-    partial = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x")], f"{SHARD} string, __k0 string")
-    assert [r[0] for r in without_shards(partial, truncated_shards(partial, 1)).select(SHARD).collect()] == ["B"]
-
-
 def test_order_by_several_keys(spark):
     rows = spark.createDataFrame([(1, "b"), (None, "a"), (1, "a"), (2, None)], "x int, s string")
     assert [tuple(r) for r in ordered(rows, [("x", True, True), ("s", False, False)]).collect()] == [(None, "a"), (2, None), (1, "a"), (1, "b")]
@@ -66,8 +60,11 @@ def test_store_moves_its_version_by_routing_alone(tmp_path):
     assert store.write(placements={"a": place | {"bytes_used": 5}}) == 1 and store.write(config={"read_only": False}) == 1
     assert store.write(placements={"a": place | {"state": "draining"}}) == 2
     assert store.config("read_only", "nope") == {"read_only": False} and store.is_reference("t") is None
+    store.write(replicas={"a": {"state": "serving", "project_ref": "r"}, "b": {"state": "retired"}})
+    assert [r.project_ref for r in store.replicas()] == ["r"]
+    store.write(replicas={"a": {"state": "serving"}, "b": {"state": "draining"}})
     with pytest.raises(ValueError):
-        store.geo_row([{"state": "serving"}, {"state": "draining"}])
+        store.replicas()
 
 
 def test_routes(spark):

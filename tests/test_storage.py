@@ -33,15 +33,15 @@ def test_blocks_hold_a_thousand_rows_and_come_back(spark):
     assert cold.cold_scan(blocks, None).count() == 0 and cold.cold_scan(blocks, "events", "2026-01-02", "2026-01-03").count() == 1250
 
 
-def test_roll_off_verifies_and_repeats(spark):
+def test_roll_off_verifies_and_repeats(spark, tmp_path):
     source = events(spark, 1200)
     ids = ",".join(str(i) for i in range(0, 1200, 2))
-    report, left, blocks = cold.roll_off_day(source, cold.pack(source).where("false"), "2026-01-01")
+    report, left, blocks = cold.roll_off_day(source, cold.pack(source).where("false"), "2026-01-01", str(tmp_path))
     assert report["status"] == "rolled_off" and report["checksum"] == hashlib.md5(ids.encode()).hexdigest() and report["n_rows"] == 600
     assert left.count() == 600
-    again, _, _ = cold.roll_off_day(left, blocks, "2026-01-01")
+    again, _, _ = cold.roll_off_day(left, blocks, "2026-01-01", str(tmp_path))
     assert again["status"] == "already_done" and again["checksum"] == report["checksum"] and again["from_blocks"]
-    assert cold.roll_off_day(left, blocks, "2026-05-01")[0]["status"] == "empty"
+    assert cold.roll_off_day(left, blocks, "2026-05-01", str(tmp_path))[0]["status"] == "empty"
     with pytest.raises(cold.SealError):
         cold.verify_day(blocks, "2026-01-01", "0" * 32)
     with pytest.raises(cold.SealError):
