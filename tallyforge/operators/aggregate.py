@@ -59,6 +59,8 @@ def _grouped(df: DataFrame, keys: Sequence[Column], parts: Sequence[Column]) ->
 def partials(rows: DataFrame, plan: Plan, by_shard: bool = False) -> DataFrame:
     """Partial aggregates by group, and by the column ``__shard`` if asked for."""
     for predicate, kind in plan.where:
+        if predicate.col not in rows.columns:
+            raise ShardError(status=400)
         if predicate.op == "is" and predicate.value is not None and not isinstance(rows.schema[predicate.col].dataType, T.BooleanType):
             raise ShardError(status=400)
         rows = rows.where(condition(predicate, kind))

@@ -225,7 +225,8 @@ ORDERS_SQL = "o AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2))
 HASH_SLOTS = 4
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, amount, day and priority."""
     return _read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", f"{_money('o_totalprice')} as amount", "cast(o_orderdate as timestamp) as day", "o_orderpriority as priority")
 
 
@@ -235,19 +236,19 @@ def _by_time(spark: SparkSession, sf_dir: str, versions: tuple[int, ...] = (1, 1
     for name, low, _ in SPANS[1:]:
         cut = F.when(F.col("day") >= F.lit(low).cast("timestamp"), F.lit(name)).otherwise(cut)
     rows = [DirectoryRow(name, low, high, schema_version=v) for (name, low, high), v in zip(SPANS, versions)]
-    return Table("orders", {}, ORDER_TYPES, _orders(spark, sf_dir).withColumn(SHARD, cut), rows, ShardKey("time", "day", TIME))
+    return Table("orders", {}, ORDER_TYPES, orders(spark, sf_dir).withColumn(SHARD, cut), rows, ShardKey("time", "day", TIME))
 
 
 def _by_slot(spark: SparkSession, sf_dir: str) -> Table:
     rows = [DirectoryRow(f"H{i}", hash_slot=i) for i in range(HASH_SLOTS)]
-    frame = _orders(spark, sf_dir).withColumn(SHARD, F.concat(F.lit("H"), F.pmod("id", F.lit(HASH_SLOTS)).cast("string")))
+    frame = orders(spark, sf_dir).withColumn(SHARD, F.concat(F.lit("H"), F.pmod("id", F.lit(HASH_SLOTS)).cast("string")))
     return Table("orders", {}, ORDER_TYPES, frame, rows, ShardKey("hash", "id", INT8, lambda v: INT8.parse(v) % HASH_SLOTS))
 
 
 def _by_range(spark: SparkSession, sf_dir: str) -> Table:
     cuts = [("R1", None, "5000"), ("R2", "5000", "30000"), ("R3", "30000", None)]
     cut = F.when(F.col("id") < 5000, F.lit("R1")).when(F.col("id") < 30000, F.lit("R2")).otherwise(F.lit("R3"))
-    return Table("orders", {}, ORDER_TYPES, _orders(spark, sf_dir).withColumn(SHARD, cut), [DirectoryRow(*c) for c in cuts], ShardKey("range", "id", INT8))
+    return Table("orders", {}, ORDER_TYPES, orders(spark, sf_dir).withColumn(SHARD, cut), [DirectoryRow(*c) for c in cuts], ShardKey("range", "id", INT8))
 
 
 def _sharded(name: str, table: Callable[[SparkSession, str], Table], where: list[dict], sql: str) -> None:

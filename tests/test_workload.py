@@ -7,8 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyforge import workload
+from tallyforge import gates, workload
 
+QUERIES, ORACLES = workload.queries() | gates.queries(), workload.oracle_sql() | gates.oracle_sql()
 SMALL = Path("/root/testdata/sf0.001")
 
 
@@ -21,14 +22,14 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert workload.queries().keys() == workload.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys() and len(QUERIES) == len(workload.queries()) + len(gates.queries())
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(workload.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    ours = workload.queries()[name](spark, str(SMALL))
-    theirs = duck.execute(workload.oracle_sql()[name])
+    ours = QUERIES[name](spark, str(SMALL))
+    theirs = duck.execute(ORACLES[name])
     columns = [c[0] for c in theirs.description]
     assert sorted(columns) == sorted(ours.columns)
     rows = [tuple(map(str, r)) for r in ours.select(*columns).collect()]
