@@ -252,21 +252,24 @@ def forest_score(forest: str, f: Column) -> Column:
     return total / len(trees)
 
 
-def _scanned(docs: DataFrame, forest: str, text: str, path: str | None) -> DataFrame:
-    """``docs`` as a struct ``row``, with ``pieces`` of text round the candidates and ``judged`` candidates."""
+def _scanned(docs: DataFrame, text: str, path: str | None) -> DataFrame:
+    """``docs`` as a struct ``row``, with ``path``, ``pieces`` of text round the candidates and ``candidates``."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
-    # Marked once, then cut at the marks: findings are every other part.
-    parts = F.split(F.regexp_replace(body, SCANNED, f"{MARK}$0{MARK}"), MARK, -1)
-    every = lambda first: F.filter(parts, lambda _, i: i % 2 == first)
-    marked = F.contains(body, F.lit(MARK))
-    cut = docs.select(
+    # Marked once, then cut at the marks: findings are every other part. In a projection of its own, so it runs once.
+    once = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         where.alias("path"),
-        F.when(marked, F.regexp_extract_all(body, F.lit(SCANNED), F.lit(0))).otherwise(every(1)).alias("found"),
-        F.when(marked, F.split(body, SCANNED, -1)).otherwise(every(0)).alias("pieces"),
+        F.when(~F.contains(body, F.lit(MARK)), F.split(F.regexp_replace(body, SCANNED, f"{MARK}$0{MARK}"), MARK, -1)).alias("parts"),
     )
-    beside = cut.select(
+    body = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    every = lambda first: F.filter("parts", lambda _, i: i % 2 == first)
+    cut = once.select(
+        "row", "path",
+        F.coalesce(every(1), F.regexp_extract_all(body, F.lit(SCANNED), F.lit(0))).alias("found"),
+        F.coalesce(every(0), F.split(body, SCANNED, -1)).alias("pieces"),
+    )
+    return cut.select(
         "row", "path", "pieces",
         F.zip_with(
             F.zip_with("found", F.slice("pieces", F.lit(1), F.size("found")), lambda x, p: F.struct(x.alias("x"), F.right(p, F.lit(BEFORE_CHARS)).alias("before"), F.length(p).alias("gap"))),
@@ -274,12 +277,6 @@ def _scanned(docs: DataFrame, forest: str, text: str, path: str | None) -> DataF
             lambda c, p: F.struct(c["x"].alias("x"), c["before"].alias("before"), c["gap"].alias("gap"), F.left(p, F.lit(AFTER_CHARS)).alias("after")),
         ).alias("candidates"),
     )
-    featured = beside.select(
-        "row", "pieces",
-        F.transform("candidates", lambda c: F.struct(c["x"].alias("x"), c["gap"].alias("gap"), features(c["x"], c["before"], c["after"], F.col("path")).alias("f"))).alias("candidates"),
-    )
-    scored = F.transform("candidates", lambda c: F.struct(c["x"].alias("x"), c["gap"].alias("gap"), forest_score(forest, c["f"]).alias("score")))
-    return featured.select("row", "pieces", scored.alias("judged"))
 
 
 def scan(docs: DataFrame, forest: str, row_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -290,14 +287,12 @@ def scan(docs: DataFrame, forest: str, row_id: str = "doc_id", text: str = "text
     that name the path is empty.
     """
     slim = docs.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), (F.col(f"`{path}`") if path and path in docs.columns else F.lit("")).cast("string").alias("path"))
-    found = (
-        _scanned(slim, forest, "text", "path")
-        .where(F.size("judged") > 0)
-        .select(F.col("row.id").alias("id"), F.xxhash64("row.text").alias("key"), F.posexplode("judged").alias("nth", "c"))
-        .select("id", "key", "nth", "c.*")
-        .groupBy("id", "key", "nth", "x", "gap")
-        .agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("times"))
-    )
+    # Outer, because a filter for texts without candidates would be pushed down and scan them again.
+    named = _scanned(slim, "text", "path").select(F.col("row.id").alias("id"), F.xxhash64("row.text").alias("key"), "path", "candidates")
+    each = named.select("id", "key", "path", F.posexplode_outer("candidates").alias("nth", "c")).where(F.col("c").isNotNull())
+    # Within a lambda, as too large an expression for generated code.
+    score = F.element_at(F.transform(F.array(features(F.col("c.x"), F.col("c.before"), F.col("c.after"), F.col("path"))), lambda f: forest_score(forest, f)), 1)
+    found = each.select("id", "key", "nth", "c.x", "c.gap", score.alias("score")).groupBy("id", "key", "nth", "x", "gap").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("times"))
     so_far = Window.partitionBy("id", "key").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("gap").cast("long") + F.length("x")).over(so_far) - F.length("x")
     placed = found.select("id", "nth", start.alias("start"), F.length("x").alias("length"), F.col("x").alias("finding"), "score", "times")
@@ -312,7 +307,10 @@ def redact(docs: DataFrame, forest: str, text: str = "text", path: str | None =
     hit = F.exists("judged", lambda c: c["score"] >= threshold)
     said = F.transform("judged", lambda c: F.when(c["score"] >= threshold, F.lit(REDACTED)).otherwise(c["x"]))
     parts = F.flatten(F.zip_with("pieces", said, lambda piece, x: F.array(piece, F.coalesce(x, F.lit("")))))
-    rebuilt = _scanned(docs, forest, text, path).select("row", F.when(hit, F.array_join(parts, "")).alias("clean"))
+    # Two projections, so that features are taken once.
+    featured = _scanned(docs, text, path).select("row", "path", "pieces", F.transform("candidates", lambda c: F.struct(c["x"].alias("x"), features(c["x"], c["before"], c["after"], F.col("path")).alias("f"))).alias("candidates"))
+    judged = featured.select("row", "pieces", F.transform("candidates", lambda c: F.struct(c["x"].alias("x"), forest_score(forest, c["f"]).alias("score"))).alias("judged"))
+    rebuilt = judged.select("row", F.when(hit, F.array_join(parts, "")).alias("clean"))
     columns = []
     for c in docs.columns:
         old = F.col("row").getField(c)
