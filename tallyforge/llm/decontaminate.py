@@ -8,8 +8,10 @@ through its rarest. Each place of that shingle in a document gives the one place
 where the window can start; it must lie within the document (length and position
 bound), and the words there are then compared with the window's.
 
-Only the benchmark side is broadcast, in blocks of a bounded number of bytes; a
-larger benchmark takes several passes whose spans are united per document.
+A benchmark of up to ``BLOCK_BYTES`` of text is broadcast as an index. A larger one is
+joined by shuffle, with the same result: documents are scanned once for the shingles
+that the benchmark has and once for those that windows stand under, each time through
+a broadcast bit filter of bounded size, and only what passes it moves.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ WINDOW = 10
 SHINGLE = 3
 #: Text bytes of benchmark items in one broadcast index.
 BLOCK_BYTES = 32 << 20
+#: The least and most bits of a filter of shingles, as powers of two, and its bits for each shingle between.
+FEWEST_BITS, MOST_BITS, BITS_EACH = 16, 26, 16
 #: Document words looked at together in a worker.
 WORDS_AT_ONCE = 400_000
+#: Rows of candidates that a worker holds.
+ROWS_AT_ONCE = 2_000
 
 #: On UTF-8 after A-Z are lower-cased: runs of a-z, 0-9 and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -206,37 +212,143 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(run, wanted)
 
 
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(item, window, size) of every window of the items; a window is its words joined by spaces."""
+    def run(batches):
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                own = words(text.as_py())
+                size = min(window, len(own))
+                found = {b" ".join(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
+                out[0].extend([item] * len(found))
+                out[1].extend(w.decode() for w in found)
+                out[2].extend([size] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["item", "window", "size"])
+
+    return items.select("item", "text").mapInArrow(run, "item string, window string, size int")
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The bits of a filter that holds the keys; its words reach the driver, 2 ** (MOST_BITS - 6) at most."""
+    n = keys.agg(F.approx_count_distinct("key")).first()[0]
+    power = min(MOST_BITS, max(FEWEST_BITS, (n * BITS_EACH).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
+    word = F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("mask")
+    rows = keys.select(*word).groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
+    bits = np.zeros(1 << (power - 6), np.int64)
+    for r in rows:
+        bits[r["word"]] = r["mask"]
+    return bits.view(np.uint64)
+
+
+def _passing(found: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of the shingles of these sizes that pass the filter."""
+    from xxhash import xxh64_intdigest
+
+    places, keys = [], []
+    for size in sizes:
+        n = len(found) - size + 1
+        if n > 0:
+            runs = found if size == 1 else map(b" ".join, zip(*(found[i:] for i in range(size))))
+            keys.append(np.fromiter((xxh64_intdigest(r, 42) for r in runs), np.uint64, n))
+            places.append(np.arange(n))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    places, keys = np.concatenate(places), np.concatenate(keys)
+    at = keys & np.uint64(len(bits) * 64 - 1)
+    held = bits[at >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)
+    return places[held > 0], keys[held > 0]
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """As ``_scan``, for items of any size, by joins of ``docs`` (id, key, text) with the windows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from tallyforge.llm.tables import durable
+
+    every = durable(_windows(items, window))
+    windows = every.select("window", "size").distinct()
+    sizes = sorted({min(shingle, r["size"]) for r in windows.select("size").distinct().collect()})  # ``window`` sizes at most
+    width = F.least(F.lit(shingle), F.col("size"))
+    offset = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.split("window", " "), i, width), " ")))).alias("offset", "key")
+    entries = durable(windows.select("window", "size", offset))
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(_filter(entries))
+
+    def held(batches):
+        for batch in batches:
+            found = [np.unique(_passing(words(v.as_py()), sizes, bits.value)[1]) for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["key"])
+
+    counts = docs.select("text").mapInArrow(held, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # A window without a document that has its rarest shingle is in none.
+    rarest = entries.join(counts, "key").groupBy("window", "size").agg(F.min(F.struct("n", "key", "offset")).alias("least"), F.count(F.lit(1)).alias("present"))
+    prefix = durable(rarest.where(F.col("present") == F.col("size") - width + 1).select("window", "size", "least.key", "least.offset"))
+    chosen = context.broadcast(_filter(prefix))
+    wanted = docs.select("id", "key", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("shingle"), F.lit(0).cast("long").alias("from"), F.array(F.lit("")).alias("near")).schema
+    for field in wanted.fields[2:]:
+        field.nullable = True
+    schema = to_arrow_schema(wanted)
+
+    def scan(batches):
+        for batch in batches:
+            rows: list[dict] = []
+            for i, (key, value) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"))):
+                own = words(value.as_py())
+                rows.append({"i": i, "key": key, "n_words": len(own), "place": None, "shingle": None, "from": None, "near": None})
+                places, keys = _passing(own, sizes, chosen.value)
+                for place, shingle_key in zip(places.tolist(), keys.view(np.int64).tolist()):
+                    begin = max(0, place - window)
+                    rows.append({"i": i, "key": key, "n_words": len(own), "place": place, "shingle": shingle_key, "from": begin, "near": [w.decode() for w in own[begin : place + window]]})
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield part(batch, rows)
+                    rows = []
+            if rows:
+                yield part(batch, rows)
+
+    def part(batch, rows):
+        ids = batch.column("id").take(pa.array([r["i"] for r in rows], pa.int64())).cast(schema.field("id").type)
+        return pa.RecordBatch.from_arrays([ids, *[pa.array([r[n] for r in rows], schema.field(n).type) for n in schema.names[1:]]], schema=schema)
+
+    found = durable(docs.mapInArrow(scan, wanted))
+    start = F.col("place") - F.col("offset")
+    own = F.slice("near", (F.col("start") - F.col("from") + 1).cast("int"), F.col("size"))
+    hits = found.where(F.col("place").isNotNull()).join(prefix.withColumnRenamed("key", "shingle"), "shingle").withColumn("start", start)
+    hits = hits.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
+    hits = durable(hits.where(F.array_join(own, " ") == F.col("window")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "start", "size", "window").distinct())
+    cells = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).alias("cells")
+    spans = hits.groupBy("_id", "_key").agg(cells).select("_id", "_key", _runs("cells").alias("spans"))
+    named = hits.select("_id", "_key", "window").distinct().join(every.select("window", "item"), "window")
+    held_items = named.groupBy(F.col("_id").alias("_id2"), F.col("_key").alias("_key2")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    base = found.where(F.col("place").isNull()).select("id", "key", "n_words")
+    same = lambda n: F.col("id").eqNullSafe(F.col(f"_id{n}")) & (F.col("key") == F.col(f"_key{n}"))
+    joined = base.join(spans, same(""), "left").join(held_items, same("2"), "left")
+    return joined.select("id", "key", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+
+
+def _runs(cells: str):
+    """Runs of a sorted array of places as (start, end), end excluded."""
+    opens = F.filter(cells, lambda c, i: ~F.get(cells, i - 1).eqNullSafe(c - 1))
+    closes = F.filter(cells, lambda c, i: ~F.get(cells, i + 1).eqNullSafe(c + 1))
+    return F.transform(opens, lambda a, i: F.named_struct(F.lit("start"), a, F.lit("end"), F.get(closes, i) + 1))
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id``, ``key``, ``n_words``, ``spans`` (disjoint word ranges, end excluded) and ``items`` (sorted ids as strings).
 
     ``key`` is the digest of the text (null for null). A null text has no words; a
     null or wordless item has no window; a null item id reads as an empty string.
     Each input row gives one row, repeated ones too; empty tables give no rows or no
-    spans. Only the named columns are read.
+    spans. Only the named columns are read. Benchmarks of more than ``block_bytes`` of
+    text are joined by shuffle; documents are scanned twice either way.
     """
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.sha2(F.col(f"`{text}`").cast("string"), 256).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    scans = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # bounded by block_bytes
-        scans.append(_scan(rows, Index([(r.item, r.text) for r in own], window, shingle)))
-    if blocks == 1:
-        return scans[0]
-    every = scans[0]
-    for scan in scans[1:]:
-        every = every.unionByName(scan)
-    cells = lambda s: F.sequence(s["start"], s["end"] - 1)
-    united = (
-        every.groupBy("id", "key")
-        .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("long").alias("copies"))
-        .withColumn("cells", F.array_sort(F.array_distinct(F.flatten(F.transform("all", cells)))))
-    )
-    opens = F.filter("cells", lambda c, i: ~F.get("cells", i - 1).eqNullSafe(c - 1))
-    closes = F.filter("cells", lambda c, i: ~F.get("cells", i + 1).eqNullSafe(c + 1))
-    spans = F.transform(opens, lambda a, i: F.named_struct(F.lit("start"), a, F.lit("end"), F.get(closes, i) + 1))
-    return united.select("id", "key", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_")).drop("_")
+    if total > block_bytes:
+        return _shuffled(rows, items, window, shingle)
+    return _scan(rows, Index([(r.item, r.text) for r in items.collect()], window, shingle))  # bounded by block_bytes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **named) -> DataFrame:

@@ -34,7 +34,7 @@ def sample(seed):
     return docs + docs[-2:], items
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 20), (2, 150)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 20), (1, 0), (2, 150), (4, 0)])
 def test_equals_brute_force(spark, seed, block):
     docs, items = sample(seed)
     found = D.find_benchmark(
