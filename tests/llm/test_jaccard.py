@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline as C
 from tallyforge.llm import jaccard as J
-from tallyforge.llm.simhash import shingles, words
+from tallyforge.llm.simhash import fingerprint, shingles, words
 
 
 def similar(a, b):
@@ -110,3 +110,21 @@ def test_families_of_a_template_and_chains(spark):
     texts = {i: texts[j] for i, j in enumerate(order)}
     expected = brute(texts)
     assert len(set(expected.values())) == 31 and found(spark, texts) == expected
+
+
+def test_fingerprints_within_few_bits_miss_pairs_that_bands_find():
+    """Why the stage does not take its candidates from covering masks on 64-bit fingerprints."""
+    rng, found = random.Random(1), []
+    while len(found) < 300:
+        base = prose(rng, rng.randint(100, 600))
+        kind, most = rng.choice([("appended", 0.2), ("cut", 0.2), ("scattered", 0.025)])
+        other = edited(rng, base, kind, rng.uniform(0, most))
+        x, y = (set(shingles([w.encode() for w in t], 5)) for t in (base, other))
+        similarity = len(x & y) / len(x | y)
+        if 0.8 <= similarity < 1:
+            differ = (fingerprint(shingles([w.encode() for w in base], 5)) ^ fingerprint(shingles([w.encode() for w in other], 5))).bit_count()
+            met = (J.bands(J.shingle_set(" ".join(base))) == J.bands(J.shingle_set(" ".join(other)))).any()
+            found.append((similarity, differ, met))
+    low = [differ for similarity, differ, _ in found if similarity < 0.85]
+    assert len(low) > 30 and sum(d <= 3 for d in low) < 0.1 * len(low) and 7 < sum(low) / len(low) < 11
+    assert all(met for *_, met in found)
