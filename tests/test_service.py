@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
@@ -15,6 +17,8 @@ from tallyforge.plans import templates
 from tallyforge.plans.executor import Table, execute
 from tallyforge.plans.planner import DirectoryRow
 from tallyforge.service import Service
+from tallyforge.sources.loader import LoadError
+from tallyforge.sources.rolloff import ColdObject, RollOffError
 from tallyforge.sources.store import CatalogStore
 
 
@@ -48,6 +52,43 @@ def test_pinned_templates(frames):
             templates.call(name, frames, digest=pin)
 
 
+def test_digests_follow_the_body_and_what_it_uses(monkeypatch):
+    before = {n: s.digest for n, s in templates.REGISTRY.items()}
+    assert len(set(before.values())) == 8 and {n: s.digest for n, s in templates.REGISTRY.items()} == before
+    shape = templates.REGISTRY["W2"]
+    assert replace(shape, build=templates.REGISTRY["W3"].build).digest != shape.digest and replace(shape, max_rows=5).digest != shape.digest
+
+    def _span(rows, params):
+        return rows
+
+    monkeypatch.setattr(_span, "__module__", templates.__name__)
+    monkeypatch.setattr(templates, "_span", _span)
+    after = {n: s.digest for n, s in templates.REGISTRY.items()}
+    assert {n for n in before if before[n] != after[n]} == {"W1", "W2", "W3"}
+
+
+def test_bodies_are_checked_when_registered():
+    def collects(tables, params):
+        return tables["fact"].limit(len(tables["fact"].collect()))
+
+    def loops(tables, params):
+        for _ in params:
+            pass
+        return tables["fact"]
+
+    def other(frames):
+        return frames["fact"]
+
+    def fine(tables, params):
+        rows = tables["fact"]
+        return rows.agg(F.count("id").alias("n"))
+
+    for build, kind, ops, parameters in ((collects, "scalar", ("count",), {}), (loops, "scalar", ("count",), {}), (other, "scalar", ("count",), {}), (fine, "rows", ("count",), {}), (fine, "scalar", ("median",), {}), (fine, "scalar", (), {}), (fine, "scalar", ("count",), {"x": float}), (fine, "many", ("count",), {})):
+        with pytest.raises(ValueError):
+            templates.template("T", kind, ops, parameters)(build)
+    assert "T" not in templates.REGISTRY and not templates.lint(templates.Shape("T", "scalar", {}, ("count",), (), fine))
+
+
 def test_order_by_several_keys(spark):
     rows = spark.createDataFrame([(1, "b"), (None, "a"), (1, "a"), (2, None)], "x int, s string")
     assert [tuple(r) for r in ordered(rows, [("x", True, True), ("s", False, False)]).collect()] == [(None, "a"), (2, None), (1, "a"), (1, "b")]
@@ -67,6 +108,73 @@ def test_store_moves_its_version_by_routing_alone(tmp_path):
         store.replicas()
 
 
+NOW = datetime(2026, 3, 1, 12, tzinfo=timezone.utc)
+
+
+def stocked(tmp_path):
+    store = CatalogStore(str(tmp_path))
+    table = {"logical_name": "t", "schema_version": 2, "is_reference": False, "shard_key_type": "range"}
+    place = {"table_id": "T", "state": "serving", "schema_version": 2, "key_min": None, "key_max": None, "last_health_at": NOW - timedelta(seconds=30), "bytes_used": 7, "row_estimate": 3}
+    projects = {"p": {"ref": "S", "status": "ACTIVE_HEALTHY"}, "q": {"ref": "Z", "status": "PAUSED"}}
+    store.write(tables={"T": table}, projects=projects, placements={"a": place | {"project_id": "p"}, "b": place | {"project_id": "q"}, "c": place | {"project_id": "p", "state": "loading"}})
+    return store
+
+
+def test_directory_stamps_and_an_exception_that_changes_nothing(tmp_path):
+    store = stocked(tmp_path)
+    version, rows = store.directory(NOW)
+    assert version == 3 and [(r["logical_name"], r["shard"], r["row_estimate"]) for r in rows] == [("t", "S", 3)]
+    assert store.directory(NOW + timedelta(seconds=90))[1] == []
+    store.stamp(["S"], NOW + timedelta(seconds=80))
+    assert store.version() == 3 and len(store.directory(NOW + timedelta(seconds=90))[1]) == 1
+    with pytest.raises(RuntimeError), store.transaction() as state:
+        state["placements"] = {}
+        raise RuntimeError
+    assert len(store.read()["placements"]) == 3
+
+
+def test_stored_ledger_and_cold_objects(tmp_path):
+    store = stocked(tmp_path)
+    with store.ledger() as book:
+        book.ensure_job("j", "T", 2)
+        book.ensure_partitions("j", [("c", "1")])
+        book.lease("j", "c", "1", NOW)
+    with CatalogStore(str(tmp_path)).ledger() as book:
+        assert book.lease("j", "c", "1", NOW)["reason"] == "lease_held" and len(book.resumable("j", NOW + timedelta(minutes=11))) == 1
+        book.loaded("j", "c", "1", 4, "f" * 32)
+        book.verify("j", "c", "1", "f" * 32)
+    with pytest.raises(LoadError), store.ledger() as book:
+        book.finalize("j", NOW)  # its span and a serving one overlap
+    store.write(placements=store.read()["placements"] | {"a": store.read()["placements"]["a"] | {"key_max": 5}, "b": store.read()["placements"]["b"] | {"key_max": 5}, "c": store.read()["placements"]["c"] | {"key_min": 5}})
+    before = store.version()
+    with store.ledger() as book:
+        assert book.finalize("j", NOW)["placements_flipped"] == 1
+    assert store.read()["placements"]["c"]["state"] == "serving" and store.version() == before + 1
+    day = ColdObject("T", "q", "public.facts_blocks[2026-01-01,2026-01-02)", 10, 5, "a" * 32, ts=("x", "y"))
+    assert store.enter_cold(day, False, 1) == {"placement_id": "b", "superseded": False} and store.enter_cold(day, False)["superseded"]
+    assert store.read()["placements"]["b"]["bytes_used"] == 0 and store.version() == before + 2
+    with pytest.raises(RollOffError):
+        store.enter_cold(day, True)
+    assert len(store.read()["cold"]) == 1
+
+
+def test_answers_stamp_their_shards_and_errors_know_the_version(spark, tmp_path):
+    store, stamped = stocked(tmp_path), []
+    rows = spark.createDataFrame([("a", 1)], "g string, x bigint")
+    table = Table("t", {"S": rows}, {"x": ColumnType("int8")}, schema_version=2)
+    body = {"v": 1, "qid": "q", "table": "t", "query": {"select": [{"op": "sum", "col": "x", "alias": "s"}]}}
+    key = {"Authorization": "Bearer k", "apikey": "k"}
+    for stamp in (stamped.append, lambda shards: 1 / 0):
+        service = Service({"t": table}, "k", store.version, directory=lambda: store.directory(NOW), stamp=stamp)
+        status, got = service.handle("POST", "/query", key, json.dumps(body))
+        assert status == 200 and got["result"] == {"s": 1} and got["directory_version"] == 3 and [e["shard"] for e in got["perShard"]] == ["S"]
+    assert stamped == [["S"]]
+    status, got = service.handle("POST", "/query", key, json.dumps(body | {"table": "u", "column_types": {"x": "int8"}}))
+    assert status == 404 and got["directory_version"] == 3
+    service.directory = lambda: (3, [{"shard": "S"}])
+    assert service.handle("POST", "/query", key, json.dumps(body))[0] == 500
+
+
 def test_routes(spark):
     rows = spark.createDataFrame([("a", 1)], "g string, x bigint")
     service = Service({"t": Table("t", {"S": rows}, {"g": ColumnType("text"), "x": ColumnType("int8")}, None, [DirectoryRow("S")])}, "secret", lambda: 4, {"read_only": True})

@@ -48,6 +48,42 @@ def test_roll_off_verifies_and_repeats(spark, tmp_path):
         cold.verify_day(blocks, "2026-01-09", report["checksum"])
 
 
+def test_pack_keeps_rows_without_id_or_time(spark):
+    day = datetime(2026, 1, 1)
+    rows = [(1, day, 1, "m", 1.0), (None, day, 1, "m", 2.0), (3, None, 1, "m", 3.0), (None, None, 1, "m", 4.0)]
+    source = spark.createDataFrame(rows, "id bigint, ts timestamp, device_id int, metric string, value double")
+    back = cold.unpack(cold.pack(source)).select(*source.columns)
+    assert back.exceptAll(source).count() == 0 and source.exceptAll(back).count() == 0
+    with pytest.raises(cold.SealError):
+        cold.blocks_checksum(cold.pack(source))
+
+
+def test_roll_off_keeps_what_came_late_and_stops_for_it(spark, tmp_path, monkeypatch):
+    source = events(spark, 100)
+    blocks = cold.pack(source.where("id < 90"))
+    left = cold.remaining(source, blocks, "2026-01-01")
+    assert sorted(r["id"] for r in left.collect()) == sorted([i for i in range(100) if i % 2 or i >= 90])
+    path = tmp_path / "events"
+    source.where("id != 98").coalesce(1).write.parquet(str(path))
+    read = spark.read.parquet(str(path))
+    pack = cold.pack
+
+    def late(rows):
+        """One more event is written between the look at the source and the packing."""
+        source.where("id = 98").coalesce(1).write.mode("append").parquet(str(path))
+        return pack(spark.read.parquet(str(path)).where("to_date(ts) = '2026-01-01'"))
+
+    monkeypatch.setattr(cold, "pack", late)
+    with pytest.raises(cold.SealError):
+        cold.roll_off_day(read, blocks.where("false"), "2026-01-01", str(tmp_path / "staging"))
+
+
+def test_checksums_of_days_in_one_task(spark):
+    source = events(spark, 1300)
+    state = {str(r["day"]): r["checksum"] for r in cold.source_state(source.coalesce(1)).collect()}
+    assert state == {f"2026-01-0{d + 1}": hashlib.md5(",".join(str(i) for i in range(d, 1300, 2)).encode()).hexdigest() for d in (0, 1)}
+
+
 def ledger(kind="range"):
     places = {"a": Placement("a", "t", 0, 10), "b": Placement("b", "t", 9, 20), "c": Placement("c", "t", 10, 20), "x": Placement("x", "other")}
     return Ledger({"t": LoadTable("t", 2, kind), "other": LoadTable("other", 1)}, places)
