@@ -384,8 +384,9 @@ def execute(
         entries[shard] = {"shard": shard, "ok": False, "latencyMs": latency_ms, "error": code}
 
     asked: list[DirectoryRow] = []
+    cap = None
     if on_placements:
-        cap = min((t.max_rows for t in derived), default=limits.rows)
+        cap = None if limits.rows is None else min((t.max_rows for t in derived), default=limits.rows)
         refused = request.limit is not None and cap is not None and request.limit > cap
         audit = not refused and table.inventory is not None and derived and request.limit is not None and sampled(request.qid)
         for row in chosen:
@@ -404,7 +405,7 @@ def execute(
     given, kept = _gather(table, targets, plan, _dimension(tables, plan), window, shard_timeout)
     good: list[_Given] = []
     for one in given:
-        if why := _refusal(one, plan, table, served, limits.rows if on_placements else None):
+        if why := _refusal(one, plan, table, served, cap):
             left_out(one.target.shard, why[0], why[1], why[2], one.latency_ms)
         else:
             good.append(one)
