@@ -26,10 +26,11 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     return attach(both, least, ["a"], 2 * total).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     least = _least(down)
-    moved = attach(down, least, ["a"], total).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # Of a star, each node but the centre has one smaller neighbour, so no node is hot here.
+    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -41,14 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node it reaches.
 
     Nodes may be of any type that can be ordered; loops and repeated edges do no harm.
-    Nodes without an edge to another are not in the result. ``edges`` is read more than once.
+    Nodes without an edge to another are not in the result.
     """
-    edges = edges.select("a", "b")
-    stars = durable(_small_star(edges, edges.count()))
+    stars = durable(_small_star(edges.select("a", "b")))
     state = _state(stars)
     while state[0]:
-        # A large star has an edge at most for each edge of before.
-        stars = durable(_small_star(_large_star(stars, state[0]), state[0]))
+        stars = durable(_small_star(_large_star(stars, state[0])))
         before, state = state, _state(stars)
         if state == before:
             break

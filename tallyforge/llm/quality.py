@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 GOOD, BAD, NONE = 1, 0, 2
 DIMENSIONS = 1024
 #: Slots of hashed words and word pairs, and how much a text's vector of them weighs beside its shares and ratios.
-TERM_DIMENSIONS, TERM_WEIGHT = 2048, 3.0
-#: Texts whose hashed features and posteriors train the scorer, at most; the driver holds 12 kB for each, twice.
+TERM_DIMENSIONS, TERM_WEIGHT = 512, 3.0
+#: Texts whose hashed features and posteriors train the scorer, at most; the driver holds 6 kB for each, twice.
 TRAINING_TEXTS = 4_000
 EM_ROUNDS = 200
 DESCENT_ROUNDS = 400
