@@ -8,9 +8,11 @@ the exact similarity of the two sets (of 64-bit shingle hashes), or not needed b
 confirmed links connect its two nodes already.
 
 A bucket is first tested as a star round the node that meets the most others in all
-buckets, so a large group of near copies gives as many pairs as it has nodes. Then only pairs that the confirmed links
-leave in different components are tested, all of them. Hot buckets and hot roots are
-dealt to several tasks.
+buckets, so a large group of near copies gives as many pairs as it has nodes. Of buckets
+that the confirmed links leave in several components, each node takes its rarest shingles
+to a prefix join with bounds by position. It misses no similar pair, and members of
+a family that have more shingles of their own than the similarity allows do not meet in it. Hot
+shingles and hot roots are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
+from tallyforge.llm.components import contracted
 from tallyforge.llm.simhash import words
-from tallyforge.llm.tables import HOT_PARTS, attach, durable
+from tallyforge.llm.tables import HOT_PARTS, attach, dealt, durable
 
 SHINGLE = 5
 #: The least similarity, as numerator and denominator.
@@ -80,10 +82,10 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """``id``, ``node``, ``size`` of the set and its ``bands``, of ``id`` and ``text``."""
+    """``id``, ``node``, ``size`` of the set and its ``buckets``, of ``id`` and ``text``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    wanted = rows.select("id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+    wanted = rows.select("id", F.lit(0).cast("long").alias("node"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("buckets")).schema
     schema = to_arrow_schema(wanted)
 
     def run(batches):
@@ -94,7 +96,7 @@ def _prints(rows: DataFrame) -> DataFrame:
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 buckets.append(bands(own))
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(buckets, schema.field("bands").type)]
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(buckets, schema.field("buckets").type)]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), *columns], schema=schema)
 
     return rows.mapInArrow(run, wanted)
@@ -116,6 +118,14 @@ def _sizes_allow(x: Column, y: Column) -> Column:
     return F.least(x, y).cast("long") * LEAST[1] >= F.greatest(x, y).cast("long") * LEAST[0]
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node`` and its ``hashes`` for the distinct nodes ``wanted``; only their texts are read again."""
+    reread = nodes.join(wanted, "node", "left_semi").select("least").distinct()
+    texts = rows.join(reread, F.col("id").eqNullSafe(F.col("least")), "left_semi")
+    # An id may have further texts, and a text further rows.
+    return durable(_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _side(sets: DataFrame, end: str) -> DataFrame:
     return sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
 
@@ -126,11 +136,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     ``nodes`` has each node's ``least`` id, and ``rows`` has ``id`` and ``text``; only the
     texts of nodes in ``pairs`` are read again.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reread = nodes.join(wanted, "node", "left_semi").select("least").distinct()
-    texts = rows.join(reread, F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    # An id may have further texts, and a text further rows.
-    sets = durable(_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows)
     # The pairs of a hot node are dealt to several tasks, each with a copy of its set.
     total = pairs.count()
     copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
@@ -144,42 +150,82 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return durable(shared.where(F.col("shared") * LEAST[1] >= (F.col("total") - F.col("shared")) * LEAST[0]).select("a", "b"))
 
 
-def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes that connect what all confirmed candidates connect."""
-    shared = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+def linked(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that confirmed candidates connect to others."""
+    shared = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     sizes = durable(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("m", F.col("n")))
-    met = durable(attach(shared, sizes, ["bucket"], nodes.count() * BANDS))
+    met = durable(dealt(shared, sizes, "bucket", "node", nodes.count() * BANDS))
     # What a family was copied from meets the most of it, so it is the one to test the others against.
     central = met.groupBy("node").agg(F.sum("m").alias("meets"))
     scored = met.join(central, "node")
     roots = durable(scored.groupBy("bucket").agg(F.max(F.struct("meets", "node", "size")).alias("root"), F.count(F.lit(1)).alias("n")))
-    members = durable(attach(met.drop("m"), roots, ["bucket"], met.count()))
+    members = durable(dealt(met.drop("m"), roots, "bucket", "node", met.count()))
     star = members.where(F.col("node") != F.col("root.node")).where(_sizes_allow(F.col("size"), F.col("root.size")))
     edges = confirmed(durable(star.select(F.col("root.node").alias("a"), F.col("node").alias("b")).distinct()), nodes, rows)
-    rest = durable(_apart(members, components(edges)))
-    return edges if rest.isEmpty() else edges.unionByName(confirmed(rest, nodes, rows))
+    found = contracted(edges)
+    mixed = durable(_mixed(members, found))
+    if mixed.isEmpty():
+        return found
+    rest = durable(_apart(_prefixes(mixed, _sets_of(mixed.select("node"), nodes, rows))))
+    if rest.isEmpty():
+        return found
+    stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return contracted(stars.unionByName(confirmed(rest, nodes, rows)))
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``node``, ``size`` and ``component`` of the nodes of buckets that confirmed links leave in several components."""
+    labelled = durable(members.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component")))
+    ends = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = durable(ends.where("low != high").select("bucket", "n"))
+    return dealt(labelled, several, "bucket", "node", labelled.count()).select("node", "size", "component").distinct()
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each node, the shingles (``bucket``) of which one is the first that it shares with any similar node.
+
+    Shingles are in one order for all nodes, the rarest first, and ``at`` is the place in
+    it, from 0. After the first common one at the places i and j, sets x and y have at most
+    least(|x| - i, |y| - j) in common, but similar ones have 4/9 (|x| + |y|) and so 4/5 |x|.
+    """
+    every = sets.select("node", F.explode("hashes").alias("bucket"))
+    often = durable(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("often", F.col("n")))
+    common = dealt(every, often, "bucket", "node", nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    listed = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("common"))
+    # Shingles that no other node has come first and meet nothing.
+    placed = nodes.join(listed, "node").withColumn("own", F.col("size") - F.size("common"))
+    least, whole = LEAST
+    most = F.floor(F.col("size") * (whole - least) / whole).cast("int") + 1 - F.col("own")
+    first = placed.where(most > 0).select("node", "size", "component", "own", F.posexplode(F.slice("common", F.lit(1), most)).alias("place", "shingle"))
+    return first.select("shingle.bucket", "node", "size", "component", (F.col("own") + F.col("place")).alias("at"))
+
+
+def _positions_allow(x: Column, x_at: Column, y: Column, y_at: Column) -> Column:
+    """Whether sets of these sizes whose first common shingle is there can be similar enough."""
+    least, whole = LEAST
+    return F.least(x - x_at, y - y_at).cast("long") * (least + whole) >= (x + y).cast("long") * least
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket that confirmed links leave in different components.
+def _apart(prefixes: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes of different components that meet in a bucket at places that allow similarity.
 
-    Pairs with the bucket's root are tested. One of a pair is outside the bucket's
-    largest component, so a large group of copies costs its size for each other node.
+    One of a pair is outside the bucket's largest component, so a large group of copies
+    costs its size for each other node.
     """
-    total = members.count()
-    labelled = durable(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    labelled = durable(prefixes)
+    total = labelled.count()
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     mixed = durable(mixed.select("bucket", F.col("most.component").alias("major"), "n"))
     copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
     hot = mixed.where(F.col("n") * HOT_PARTS > total).select("bucket", copies.alias("copies"))  # fewer than HOT_PARTS rows
-    inside = attach(labelled.where(F.col("node") != F.col("root.node")).select("bucket", "node", "size", "component"), mixed, ["bucket"], total)
+    inside = dealt(labelled, mixed, "bucket", "node", total)
     inside = durable(inside.join(F.broadcast(hot), "bucket", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
-    named = lambda df, end: df.select("bucket", "part", "major", *[F.col(c).alias(f"{end}_{c}") for c in ("node", "size", "component")])
+    named = lambda df, end: df.select("bucket", "part", "major", *[F.col(c).alias(f"{end}_{c}") for c in ("node", "size", "component", "at")])
     x = named(inside.where("component != major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))), "a").drop("major")
     y = named(inside.withColumn("part", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")), "b")
     pairs = x.join(y, ["bucket", "part"]).where("a_component != b_component and (b_component = major or a_node < b_node)")
-    pairs = pairs.where(_sizes_allow(F.col("a_size"), F.col("b_size")))
+    pairs = pairs.where(_positions_allow(*[F.col(c) for c in ("a_size", "a_at", "b_size", "b_at")]))
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -191,10 +237,10 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     prints = durable(_prints(rows))
-    nodes = durable(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    members = durable(nodes.select("node", "least").join(components(links(nodes, rows)), "node"))
+    nodes = durable(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n")))
+    members = durable(nodes.select("node", "least").join(linked(nodes, rows), "node"))
     smallest = members.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("n"))
-    placed = attach(members.select("node", "component"), smallest, ["component"], members.count()).select("node", "smallest")
+    placed = dealt(members.select("node", "component"), smallest, "component", "node", members.count()).select("node", "smallest")
     # Nodes without a link are components of their own.
     labels = durable(nodes.join(placed, "node", "left").select("node", F.coalesce("smallest", "least").alias("component"), "n"))
     return attach(prints.select("id", "node"), labels, ["node"], prints.count()).select("id", "component")

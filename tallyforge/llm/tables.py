@@ -76,6 +76,20 @@ def attach(rows: DataFrame, labels: DataFrame, keys: Sequence[str], total: int,
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
 
 
+def dealt(rows: DataFrame, labels: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """What ``attach`` gives, with rows of a hot key dealt to several tasks by their column ``by``.
+
+    Each of those tasks has a copy of the label. Rows are read once and all are moved;
+    there are half as many tasks and fewer stages.
+    """
+    copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
+    hot = F.broadcast(labels.where(F.col("n") * HOT_PARTS > total).select(key, copies.alias("_copies")))
+    part = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")
+    parted = rows.join(hot, key, "left").withColumn("_part", part).drop("_copies")
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("n") * HOT_PARTS > total, copies).otherwise(1) - 1))
+    return parted.join(labels.withColumn("_part", each).drop("n"), [key, "_part"]).drop("_part")
+
+
 def each_copy(rows: DataFrame, times: str) -> DataFrame:
     """Every row as often as its column ``times`` says, which goes; arrays are short."""
     outer = F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(COPIES_AT_ONCE).cast("long"))

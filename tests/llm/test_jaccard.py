@@ -128,3 +128,16 @@ def test_fingerprints_within_few_bits_miss_pairs_that_bands_find():
     low = [differ for similarity, differ, _ in found if similarity < 0.85]
     assert len(low) > 30 and sum(d <= 3 for d in low) < 0.1 * len(low) and 7 < sum(low) / len(low) < 11
     assert all(met for *_, met in found)
+
+
+def test_family_members_with_too_much_of_their_own_are_not_listed_as_pairs(spark):
+    rng = random.Random(13)
+    template = prose(rng, 300)
+    texts = [" ".join(template + prose(rng, 48)) for _ in range(60)]  # similarity about 0.75
+    texts += [texts[0] + " one more end", texts[1] + " another end"]
+    sets = [J.shingle_set(t) for t in texts]
+    frame = spark.createDataFrame([(J.node_of(s), s.view("int64").tolist()) for s in sets], "node bigint, hashes array<bigint>")
+    nodes = frame.selectExpr("node", "size(hashes) as size", "node as component")
+    pairs = {(r["a"], r["b"]) for r in J._apart(J._prefixes(nodes, frame)).collect()}
+    similar_pairs = {tuple(sorted((J.node_of(sets[i]), J.node_of(sets[j])))) for i in range(62) for j in range(i) if similar(texts[i], texts[j])}
+    assert len(similar_pairs) == 2 and pairs == similar_pairs
