@@ -1,11 +1,13 @@
 """Near duplicates by the Jaccard similarity of distinct five-word shingles.
 
-Texts with the same set of shingles are one node. Candidates are pairs that agree on a
-whole band of MinHashes of that set: two sets of similarity s agree on one of ``BANDS``
-bands of ``ROWS`` with probability 1 - (1 - s^ROWS)^BANDS, whatever their difference
-looks like, and 5 in 10^8 of the pairs at 0.8 are missed. Each candidate is confirmed by
-the exact similarity of the two sets (of 64-bit shingle hashes), or not needed because
-confirmed links connect its two nodes already.
+Texts with the same set of shingles are one node. A node has the SimHash of its set, and
+pairs within ``RADIUS`` bits of it are candidates, found by the covering masks of
+``simhash`` without false negatives. As 64 bits cannot tell a similarity of 0.8, pairs
+that agree on a whole band of MinHashes of the set are candidates too: two sets of
+similarity s agree on one of ``BANDS`` bands of ``ROWS`` with probability
+1 - (1 - s^ROWS)^BANDS, whatever their difference looks like, and 5 in 10^8 of the pairs
+at 0.8 are missed. Each candidate is confirmed by the exact similarity of the two sets (of
+64-bit shingle hashes), or not needed because confirmed links connect its two nodes already.
 
 A bucket is first tested as a star round the node that meets the most others in all
 buckets, so a large group of near copies gives as many pairs as it has nodes. Of buckets
@@ -23,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import contracted
-from tallyforge.llm.simhash import words
+from tallyforge.llm.simhash import RADIUS, majority, masks, words
 from tallyforge.llm.tables import HOT_PARTS, attach, dealt, durable
 
 SHINGLE = 5
 #: The least similarity, as numerator and denominator.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 4
+#: What a SimHash keeps in each covering table.
+MASKS = np.array(masks(RADIUS), np.uint64)
 #: Shingles whose MinHashes are taken at a time.
 AT_ONCE = 1 << 12
 
@@ -81,6 +85,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tables(hashes: np.ndarray) -> np.ndarray:
+    """One bucket for each covering table of the set's SimHash, as signed longs; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    kept = MASKS & np.uint64(majority(hashes))
+    return _mix(_mix(kept) + np.arange(BANDS, BANDS + len(MASKS), dtype=np.uint64)).view(np.int64)
+
+
 def _prints(rows: DataFrame) -> DataFrame:
     """``id``, ``node``, ``size`` of the set and its ``buckets``, of ``id`` and ``text``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -95,7 +107,7 @@ def _prints(rows: DataFrame) -> DataFrame:
                 own = shingle_set(value.as_py())
                 nodes.append(node_of(own))
                 sizes.append(len(own))
-                buckets.append(bands(own))
+                buckets.append(np.concatenate((tables(own), bands(own))))
             columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(buckets, schema.field("buckets").type)]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), *columns], schema=schema)
 
@@ -154,7 +166,7 @@ def linked(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, component) of all nodes that confirmed candidates connect to others."""
     shared = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     sizes = durable(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("m", F.col("n")))
-    met = durable(dealt(shared, sizes, "bucket", "node", nodes.count() * BANDS))
+    met = durable(dealt(shared, sizes, "bucket", "node", nodes.count() * (BANDS + len(MASKS))))
     # What a family was copied from meets the most of it, so it is the one to test the others against.
     central = met.groupBy("node").agg(F.sum("m").alias("meets"))
     scored = met.join(central, "node")

@@ -46,11 +46,8 @@ def shingles(found: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(run) for run in zip(*(found[i:] for i in range(size)))]
 
 
-def fingerprint(votes, seed: int = SEED) -> int:
-    """The SimHash of some shingles; zero for none."""
-    from xxhash import xxh64_intdigest
-
-    hashes = np.fromiter((xxh64_intdigest(v, seed) for v in votes), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes; zero for none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -60,6 +57,13 @@ def fingerprint(votes, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(votes, seed: int = SEED) -> int:
+    """The SimHash of some shingles; zero for none."""
+    from xxhash import xxh64_intdigest
+
+    return majority(np.fromiter((xxh64_intdigest(v, seed) for v in votes), np.uint64))
+
+
 def masks(radius: int, among: int = (1 << 64) - 1) -> list[int]:
     """Masks on the bits of ``among``: for any ``radius`` of them, some mask has none."""
     places = [i for i in range(64) if among >> i & 1]

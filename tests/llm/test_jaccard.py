@@ -130,6 +130,15 @@ def test_fingerprints_within_few_bits_miss_pairs_that_bands_find():
     assert all(met for *_, met in found)
 
 
+def test_covering_tables_meet_all_pairs_within_the_radius():
+    rng = random.Random(12)
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3)))
+        # One hash is its own majority.
+        assert (J.tables(J.np.array([x], J.np.uint64)) == J.tables(J.np.array([y], J.np.uint64))).any()
+
+
 def test_family_members_with_too_much_of_their_own_are_not_listed_as_pairs(spark):
     rng = random.Random(13)
     template = prose(rng, 300)
