@@ -51,7 +51,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     ranks = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     return decoded.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("decoded"))
 
 

@@ -87,7 +87,29 @@ def vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def _encode_texts(df: DataFrame, shared, pattern: str, text: str) -> DataFrame:
+def _decoding(run, shared, schema: pa.Schema):
+    """What ``run`` makes of batches, rows of ``schema`` that end with ``ids``, and then ``decoded``."""
+    longer = schema.append(pa.field("decoded", pa.binary()))
+
+    def both(batches):
+        table = _id_bytes(shared.value).__getitem__
+        for batch in run(batches):
+            plain = [c.to_pylist() for c in batch.columns[:-1]]
+            rows = ((*row[:-1], ids, b"".join(map(table, array("I", ids)))) for row, ids in ((r, r[-1].as_py()) for r in zip(*plain, batch.columns[-1])))
+            yield from _batches(rows, longer, lambda r: len(r[-2]) + len(r[-1]))
+
+    return both
+
+
+def _mapped(df: DataFrame, run, wanted: DataFrame, shared, decoded: bool) -> DataFrame:
+    """``df`` through ``run``, which gives rows like ``wanted``, in one Python worker a task; with ``decoded`` at their end if asked for."""
+    if not decoded:
+        return df.mapInArrow(run, wanted.schema)
+    run = _decoding(run, shared, _arrow(wanted, wanted.columns))
+    return df.mapInArrow(run, wanted.withColumn("decoded", F.col("ids")).schema)
+
+
+def _encode_texts(df: DataFrame, shared, pattern: str, text: str, decoded: bool = False) -> DataFrame:
     """``df`` with its text column replaced by ``ids`` (little-endian unsigned 32-bit)."""
     others = [c for c in df.columns if c != text]
     schema = _arrow(df, others).append(pa.field("ids", pa.binary()))
@@ -99,8 +121,8 @@ def _encode_texts(df: DataFrame, shared, pattern: str, text: str) -> DataFrame:
             rows = zip(*plain, batch.column(text))
             yield from _batches(((*row[:-1], array("I", encode(row[-1].as_py())).tobytes()) for row in rows), schema, lambda r: len(r[-1]))
 
-    wanted = df.select(*others, F.lit(None).cast("binary").alias("ids")).schema
-    return df.select(*others, text).mapInArrow(run, wanted)
+    wanted = df.select(*others, F.lit(None).cast("binary").alias("ids"))
+    return _mapped(df.select(*others, text), run, wanted, shared, decoded)
 
 
 def _cut(df: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -167,7 +189,7 @@ def _pieces(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
     return alone.unionByName(glued)
 
 
-def _gather(encoded: DataFrame) -> DataFrame:
+def _gather(encoded: DataFrame, shared, decoded: bool) -> DataFrame:
     """(id, copies, ids) of each text from its pieces, read in order and never held twice."""
     schema = _arrow(encoded, ["id", "copies", "ids"])
 
@@ -187,12 +209,14 @@ def _gather(encoded: DataFrame) -> DataFrame:
         yield from _batches(rows(), schema, lambda r: len(r[-1]))
 
     ordered = encoded.repartition("key").sortWithinPartitions("key", "run")
-    return ordered.mapInArrow(run, encoded.select("id", "copies", "ids").schema)
+    return _mapped(ordered, run, encoded.select("id", "copies", "ids"), shared, decoded)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, row_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, row_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: bool = False) -> DataFrame:
     """``id`` and ``ids`` (binary: little-endian unsigned 32-bit) of every row's whole text.
 
+    With ``decoded``, also what ``decode`` makes of the ids, by the worker that has them,
+    so a task has one Python worker and not two.
     A null text encodes as an empty one. Ids need not be unique or present; each input
     row gives one output row. An empty table gives no rows. Only the two named columns
     are read, so other columns cannot clash.
@@ -201,7 +225,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, row_id: str = "doc_id",
         raise ValueError("the overlap must be shorter than the chunk")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(f"`{row_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    short = _encode_texts(rows.where(F.length("text") <= chunk_chars), shared, pattern, "text")
+    short = _encode_texts(rows.where(F.length("text") <= chunk_chars), shared, pattern, "text", decoded)
     long = rows.where(F.length("text") > chunk_chars)
     key = F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit("\n"), F.col("text")), 256)
     # Equal rows have equal chunks: they are encoded once and counted.
@@ -210,22 +234,15 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, row_id: str = "doc_id",
         .groupBy("key", "k")
         .agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
-    whole = _gather(_encode_texts(_pieces(chunks, pattern, chunk_chars, overlap_chars), shared, pattern, "text"))
-    return short.unionByName(whole.select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_"), "ids").select("id", "ids"))
+    whole = _gather(_encode_texts(_pieces(chunks, pattern, chunk_chars, overlap_chars), shared, pattern, "text"), shared, decoded)
+    return short.unionByName(whole.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_", "copies"))
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``id``, ``ids`` and ``decoded`` (the raw bytes of the ids, concatenated)."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    schema = _arrow(encoded, ["id", "ids"]).append(pa.field("decoded", pa.binary()))
-
-    def run(batches):
-        table = _id_bytes(shared.value).__getitem__
-        for batch in batches:
-            rows = ((ident, ids, b"".join(map(table, array("I", ids)))) for ident, ids in ((i, v.as_py()) for i, v in zip(batch.column("id").to_pylist(), batch.column("ids"))))
-            yield from _batches(rows, schema, lambda r: len(r[1]) + len(r[2]))
-
-    return encoded.select("id", "ids").mapInArrow(run, encoded.select("id", "ids", F.col("ids").alias("decoded")).schema)
+    rows = encoded.select("id", "ids")
+    return _mapped(rows, iter, rows, shared, True)
 
 
 def token_ids(ids: str = "ids") -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.components import contracted
 from tallyforge.llm.simhash import RADIUS, majority, masks, words
-from tallyforge.llm.tables import HOT_PARTS, attach, dealt, durable
+from tallyforge.llm.tables import attach, copies_of, dealt, durable
 
 SHINGLE = 5
 #: The least similarity, as numerator and denominator.
@@ -151,13 +151,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows)
     # The pairs of a hot node are dealt to several tasks, each with a copy of its set.
     total = pairs.count()
-    copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
-    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_PARTS > total).select("a", copies.alias("copies"))  # fewer than HOT_PARTS rows
-    part = F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")
-    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", part.alias("part"))
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
-    copied = _side(sets, "a").join(F.broadcast(hot), "a", "left").select("a", "a_set", parts.alias("part"))
-    both = dealt.join(copied, ["a", "part"]).join(_side(sets, "b"), "b")
+    copies = copies_of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", total)
+    parted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("part"))
+    copied = _side(sets, "a").select("a", "a_set", F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
+    both = parted.join(copied, ["a", "part"]).join(_side(sets, "b"), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).cast("long").alias("shared"), (F.size("a_set") + F.size("b_set")).cast("long").alias("total"))
     return durable(shared.where(F.col("shared") * LEAST[1] >= (F.col("total") - F.col("shared")) * LEAST[0]).select("a", "b"))
 
@@ -229,10 +226,8 @@ def _apart(prefixes: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     mixed = durable(mixed.select("bucket", F.col("most.component").alias("major"), "n"))
-    copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
-    hot = mixed.where(F.col("n") * HOT_PARTS > total).select("bucket", copies.alias("copies"))  # fewer than HOT_PARTS rows
     inside = dealt(labelled, mixed, "bucket", "node", total)
-    inside = durable(inside.join(F.broadcast(hot), "bucket", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
+    inside = durable(inside.withColumn("copies", copies_of(mixed, "bucket", total)))
     named = lambda df, end: df.select("bucket", "part", "major", *[F.col(c).alias(f"{end}_{c}") for c in ("node", "size", "component", "at")])
     x = named(inside.where("component != major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))), "a").drop("major")
     y = named(inside.withColumn("part", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")), "b")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default.
@@ -76,17 +76,35 @@ def attach(rows: DataFrame, labels: DataFrame, keys: Sequence[str], total: int,
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
 
 
+def copies_of(counts: DataFrame, key: str, total: int) -> Column:
+    """To how many tasks the rows of a value of ``key`` are dealt: one, or more where it is hot.
+
+    ``counts`` has ``n``, the rows of each value, of ``total`` in all. The hot ones, fewer
+    than ``HOT_PARTS`` by that count, come to the driver and are part of the expression, so
+    no row goes through a join to learn that it is not hot. ``counts`` is read at once.
+    """
+    kind = counts.schema[key].dataType
+    hot = counts.where(F.col("n") * HOT_PARTS > total).select(key, _parts(total)).collect()
+    if not hot:
+        return F.lit(1)
+    keys = [F.lit(value).cast(kind) for value, _ in hot]
+    parts = F.create_map(*[x for k, (_, n) in zip(keys, hot) for x in (k, F.lit(n))])
+    return F.when(F.col(key).isin(*keys), F.element_at(parts, F.col(key))).otherwise(1)
+
+
+def _parts(total: int) -> Column:
+    """The tasks that rows of a hot key are dealt to, ``n`` of ``total``."""
+    return (F.col("n") * HOT_PARTS / total).cast("int") + 1
+
+
 def dealt(rows: DataFrame, labels: DataFrame, key: str, by: str, total: int) -> DataFrame:
     """What ``attach`` gives, with rows of a hot key dealt to several tasks by their column ``by``.
 
     Each of those tasks has a copy of the label. Rows are read once and all are moved;
-    there are half as many tasks and fewer stages.
+    there are half as many tasks and fewer stages. ``labels`` is read more than once.
     """
-    copies = (F.col("n") * HOT_PARTS / total).cast("int") + 1
-    hot = F.broadcast(labels.where(F.col("n") * HOT_PARTS > total).select(key, copies.alias("_copies")))
-    part = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")
-    parted = rows.join(hot, key, "left").withColumn("_part", part).drop("_copies")
-    each = F.explode(F.sequence(F.lit(0), F.when(F.col("n") * HOT_PARTS > total, copies).otherwise(1) - 1))
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(by), copies_of(labels, key, total)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("n") * HOT_PARTS > total, _parts(total)).otherwise(1) - 1))
     return parted.join(labels.withColumn("_part", each).drop("n"), [key, "_part"]).drop("_part")
 
 

@@ -8,6 +8,7 @@ from array import array
 import public_tokenizers
 import pytest
 
+import corpus_pipeline as C
 from tallyforge.llm import bpe
 
 RANKS = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -34,6 +35,17 @@ def test_equals_the_library(spark, library, chunk, overlap):
     assert got == sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS), (64, 16)])
+def test_decoded_by_the_worker_that_encodes(spark, chunk, overlap):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(6, TEXTS[6]), (None, TEXTS[6]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain, both = (bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk_chars=chunk, overlap_chars=overlap, decoded=d) for d in (False, True))
+    apart = bpe.decode(plain, RANKS)
+    assert both.schema == apart.schema and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    workers = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert workers(C.tokenise(spark, docs, "")) == workers(bpe.encode(docs, RANKS, public_tokenizers.PATTERN))
+
+
 def test_ids_as_integers(spark, library):
     docs = spark.createDataFrame([(1, TEXTS[3]), (2, "")], "doc_id bigint, text string")
     rows = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("id", bpe.token_ids().alias("t")).collect()

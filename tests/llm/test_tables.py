@@ -16,6 +16,23 @@ def test_attach_equals_a_join(spark, total, how):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("total", [10**9, 5000, 3000, 43])
+def test_dealt_equals_a_join_and_joins_no_row_to_learn_that_it_is_not_hot(spark, total):
+    rows = spark.createDataFrame([(-7, i) for i in range(40)] + [(1 << 40, 1), (2, 2), (3, 3), (None, 4)], "k long, v long")
+    labels = spark.createDataFrame([(-7, "hot", 40), (1 << 40, "cold", 1), (2, "cold", 1), (9, "x", 1)], "k long, label string, n long")
+    want = rows.join(labels.drop("n"), "k")
+    got = tables.dealt(rows, labels, "k", "v", total)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_copies_of_hot_keys_only(spark):
+    counts = spark.createDataFrame([(-7, 40), (1 << 40, 5), (2, 1)], "k long, n long")
+    rows = spark.createDataFrame([(-7,), (1 << 40,), (2,), (3,), (None,)], "k long")
+    for total, want in ((10**9, {}), (3000, {-7: 14, 1 << 40: 2}), (43, {-7: 931, 1 << 40: 117, 2: 24})):
+        assert {r["k"]: r["c"] for r in rows.select("k", tables.copies_of(counts, "k", total).alias("c")).collect()} == {k: want.get(k, 1) for k in (-7, 1 << 40, 2, 3, None)}
+
+
 def test_no_local_folder_on_a_cluster():
     class Conf:
         def get(self, *_):
